@@ -20,14 +20,15 @@ PROJECTION_COMPONENTS = 3
 
 
 def vector_columns(df: DataFrame, text: str = "text", img: str = "img") -> DataFrame:
-    """Text, Image and Combined feature vectors next to the other columns."""
-    return df.withColumns(
-        {
-            TEXT: array_to_vector(text),
-            IMAGE: array_to_vector(img),
-            COMBINED: array_to_vector(concat_vectors(text, img)),
-        }
-    ).drop(text, img)
+    """Text, Image and Combined feature vectors in place of the two arrays."""
+    # Column names ignore case, so the inputs cannot stay beside the outputs.
+    others = [name for name in df.columns if name not in (text, img)]
+    return df.select(
+        *others,
+        array_to_vector(text).alias(TEXT),
+        array_to_vector(img).alias(IMAGE),
+        array_to_vector(concat_vectors(text, img)).alias(COMBINED),
+    )
 
 
 def fit_standardizer(df: DataFrame, column: str, output: str) -> PipelineModel:

@@ -60,8 +60,9 @@ def metric_tables(
 
 
 def rounded(df: DataFrame, columns: Sequence[str] = METRICS, digits: int = 3) -> DataFrame:
-    """Half-even rounding."""
-    return df.withColumns({name: F.bround(name, digits) for name in columns})
+    """Rounding of the scaled value, halves to even, as numpy does it."""
+    scale = F.lit(float(10**digits))
+    return df.withColumns({name: F.rint(F.col(name) * scale) / scale for name in columns})
 
 
 def best_rows(

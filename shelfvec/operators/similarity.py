@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfvec.functions.text import as_column
 from shelfvec.operators.numbering import batch_of
@@ -21,34 +22,31 @@ def concat_vectors(text: Column | str = "text", img: Column | str = "img") -> Co
     return F.concat(as_column(text), as_column(img))
 
 
-@F.arrow_udf("array<double>")
-def _unit(vectors: pa.Array) -> pa.Array:
-    import numpy as np
-    import pyarrow as pa
-
-    offsets = vectors.offsets.to_numpy()
-    first, last = offsets[0], offsets[-1]
-    values = vectors.values.to_numpy(zero_copy_only=False)[first:last].astype(np.float64)
-    widths = np.diff(offsets)
-    filled = widths > 0
-    norms = np.ones(len(widths))
-    if filled.any():
-        starts = (offsets[:-1] - first)[filled]
-        norms[filled] = np.sqrt(np.add.reduceat(values * values, starts))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        scaled = values / np.repeat(norms, widths)
-    return pa.ListArray.from_arrays(
-        pa.array(offsets - first, pa.int32()), pa.array(scaled), mask=vectors.is_null()
-    )
-
-
 def l2_normalize(vector: Column | str) -> Column:
     """The vector divided by its Euclidean length; a zero vector gives NaN.
 
     One numpy pass per Arrow batch: an SQL lambda would be interpreted
     element by element.
     """
-    return _unit(as_column(vector))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(vectors: pa.Array) -> pa.Array:
+        offsets = vectors.offsets.to_numpy()
+        first, last = offsets[0], offsets[-1]
+        values = vectors.values.to_numpy(zero_copy_only=False)[first:last].astype(np.float64)
+        widths = np.diff(offsets)
+        filled = widths > 0
+        norms = np.ones(len(widths))
+        if filled.any():
+            starts = (offsets[:-1] - first)[filled]
+            norms[filled] = np.sqrt(np.add.reduceat(values * values, starts))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scaled = values / np.repeat(norms, widths)
+        return pa.ListArray.from_arrays(
+            pa.array(offsets - first, pa.int32()), pa.array(scaled), mask=vectors.is_null()
+        )
+
+    return unit(as_column(vector))
 
 
 def _collected(df: DataFrame, size: int, text: str, img: str, key: str) -> DataFrame:
