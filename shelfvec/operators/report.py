@@ -70,17 +70,21 @@ def best_rows(
     position: str,
     by: Sequence[str] = ("model", "task"),
     metric: str = "f1",
+    **join_options,
 ) -> DataFrame:
     """Row with the highest metric per group; the first position on a tie.
 
-    A maximum of structs combines inside each map task, so a large group is
-    never sorted or gathered.
+    The maximum and then the lowest position are plain numbers, so both
+    aggregates hash and combine in the map tasks. A window, or a maximum of
+    whole rows, would sort every row of a large group.
     """
-    known = F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double"))
-    rank = F.struct(F.col(metric), -F.col(position))
-    row = F.struct(*[F.col(name) for name in results.columns])
-    best = results.where(known).groupBy(*by).agg(F.max_by(row, rank).alias("_best"))
-    return best.select("_best.*")
+    value = F.col(metric)
+    known = results.where(value.isNotNull() & ~F.isnan(value.cast("double")))
+    top = known.groupBy(*by).agg(F.max(metric).alias("_top"))
+    ties = lookup_join(known, top, by, "inner", **join_options).where(value == F.col("_top"))
+    first = ties.groupBy(*by).agg(F.min(position).alias("_first"))
+    chosen = lookup_join(ties.drop("_top"), first, by, "inner", **join_options)
+    return chosen.where(F.col(position) == F.col("_first")).select(*results.columns)
 
 
 def sorted_by_metric(results: DataFrame, metric: str = "f1") -> DataFrame:

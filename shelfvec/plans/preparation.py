@@ -15,13 +15,13 @@ def prepare_catalog(
 ) -> DataFrame:
     """Usable products with their image path; all product columns are kept.
 
-    One scan with pushed filters and no shuffle.
+    One scan and no shuffle. Filling blanks keeps nulls, so the null filters
+    come first, where they can be pushed into the scan.
     """
-    rows = P.drop_null(products, "title")
-    rows = P.fill_blanks(rows)
-    rows = P.drop_null(rows, "description")
+    rows = P.drop_null(P.drop_null(products, "title"), "description")
     if bad_ids:
         rows = P.drop_ids(rows, ids=bad_ids)
+    rows = P.fill_blanks(rows)
     return rows.withColumn("image_path", P.image_path(image_dir, separator=separator))
 
 
@@ -30,8 +30,7 @@ def prepare_training(
 ) -> DataFrame:
     """The stricter variant: no nulls in any text column, listed images left out."""
     rows = P.drop_columns(products)
-    rows = P.decode_bytes(rows)
-    rows = P.drop_incomplete(rows)
+    rows = P.decode_bytes(P.drop_incomplete(rows))
     if excluded is not None:
         rows = P.drop_listed(rows, excluded)
     return rows.withColumn("image_path", P.image_path(image_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfvec.operators import metrics as M
 from shelfvec.operators.features import COMBINED, reduce_dimensions, standardize, vector_columns
 from shelfvec.operators.folds import class_weights, stratified_folds
-from shelfvec.plans.evaluation import evaluate, evaluation, fold_scores, run_suite
+from shelfvec.plans.evaluation import evaluate, evaluation, run_suite
 from suite import query, table
 from suite.catalog import SHUFFLE_KEY_SQL
 from suite.views import vectors
@@ -123,7 +123,9 @@ def m6(spark, sf):
 @query("m7_multiclass_mlp")
 def m7(spark, sf):
     config = evaluation("mlp", multiclass=True, max_iter=MLP_ITERATIONS)
-    return _rounded(fold_scores(_classes(spark, sf), vectors(spark, sf), config))
+    tasks = {"label": _classes(spark, sf)}
+    store = _store(spark, sf, "base")
+    return _rounded(evaluate(store, ["base"], tasks, config, one_score=False))
 
 
 @query("m12_grid")

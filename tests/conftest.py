@@ -1,0 +1,27 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from shelfvec.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("*")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def plan_of():
+    """Physical plan text of a frame, after adaptive execution if it ran."""
+
+    def text(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    return text

@@ -1,0 +1,141 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from shelfvec.functions.text import clean_text, fill_blank, shares_word, words
+from shelfvec.operators import language as G
+
+
+def python_clean(text, drop=()):
+    text = re.sub(r"<[^>]+>", " ", text)
+    text = re.sub(r"[^\w\s]", " ", text)
+    for word in drop:
+        text = re.sub(r"\b" + re.escape(word) + r"\b", " ", text)
+    return re.sub(r"\s+", " ", text).strip()
+
+
+FIXED = [
+    "<b>Женский, xl!</b> café_1",
+    "a<b",
+    "x²",
+    "a < b > c <i>\nd</i>",
+    "\x1c\x85\u00a0\u2003 z \u3000",
+    "",
+    "<>",
+    "<<a>>",
+    "don't stop-me New York City",
+]
+
+
+def random_texts(n):
+    rng = random.Random(5)
+    letters = "aбЯz0_<>!,.-' \t\n\x1c\x85\u00a0²éйß"
+    return ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(n)]
+
+
+def run(spark, texts, expression):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[1] for r in df.select("i", expression).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize(
+    "drop", [(), ("xl", "б"), ("York City", "New York", "stop me"), ("a", "New York", "City", "0")]
+)
+def test_clean_text_equals_python(spark, drop):
+    texts = FIXED + random_texts(400)
+    assert run(spark, texts, clean_text("t", drop)) == [python_clean(t, drop) for t in texts]
+
+
+def test_clean_text_example(spark):
+    assert run(spark, FIXED[:1], clean_text("t")) == ["Женский xl café_1"]
+
+
+def test_drop_words_are_literal_and_whole(spark):
+    # The reference pattern would read the dot as any character.
+    assert run(spark, ["a.c abc ab"], clean_text("t", ["a.c"])) == ["a c abc ab"]
+    assert run(spark, ["xl xxl xl2"], clean_text("t", ["xl"])) == ["xxl xl2"]
+
+
+def test_blank(spark):
+    got = run(spark, ["", " \t\n", "\u00a0", "\x1c", "a ", None], fill_blank("t"))
+    assert got == ["No info"] * 4 + ["a ", None]
+
+
+def test_words_and_overlap(spark):
+    assert run(spark, ["", "a b", None], words("t")) == [[], ["a", "b"], None]
+    assert run(spark, ["", "a b", "ab"], shares_word(words("t"), ["b", "c", "b"])) == [
+        False,
+        True,
+        False,
+    ]
+
+
+@pytest.mark.parametrize(
+    ("texts", "language"),
+    [
+        (["latin", "more"], "en"),
+        (["latin", "one ж"], "ru"),
+        (["\u0483 mark only"], "en"),
+        ([None, None], "en"),
+    ],
+)
+def test_language_of_the_whole_column(spark, texts, language):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(G.language_of_column(df, "t").alias("g")).collect()
+    assert {r.g for r in got} == {language}
+
+
+def test_language_plan_has_no_join(spark, plan_of):
+    df = spark.createDataFrame([("ж",)], "t string")
+    assert "Join" not in plan_of(df.select(G.language_of_column(df, "t")))
+
+
+@pytest.fixture(scope="module")
+def lemmas(spark):
+    rows = [
+        ("ru", "женские", "женский"),
+        ("ru", "Женская", "женский"),
+        ("ru", "мужа", "муж"),
+        ("ru", "муж", "муж"),
+        ("ru", "платье", "плат"),
+        ("en", "women", "woman"),
+        ("en", "женские", "wrong"),
+    ]
+    return spark.createDataFrame(rows, "lang string, form string, lemma string")
+
+
+@pytest.mark.parametrize("limit", [10**9, -1])
+def test_normalize_both_plans(spark, lemmas, limit):
+    texts = ["Женские штаны 2шт муж", "", None, "мужа мужа women", "22 33"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = G.normalize_text(df, "t", lemmas, limit_bytes=limit).orderBy("i").collect()
+    assert [r.t for r in out] == ["женский штаны муж", "", None, "муж муж women", ""]
+
+
+def test_normalize_with_row_language(spark, lemmas):
+    df = spark.createDataFrame([("women женские",)], "t string")
+    english = G.normalize_text(df, "t", lemmas, language="en", output="o").first()
+    assert (english.t, english.o) == ("women женские", "woman wrong")
+
+
+def test_normalize_columns_reads_null_as_nan(spark, lemmas):
+    df = spark.createDataFrame([("<i>Женские!</i>", None), ("x1 мужа", "b")], "a string, b string")
+    out = G.normalize_columns(df, ["a", "b"], lemmas, ["c", "d"]).collect()
+    assert sorted((r.c, r.d) for r in out) == [("женский", "nan"), ("муж", "b")]
+
+
+def test_keyword_forms_equal_lemmatising_everything(spark, lemmas):
+    rng = random.Random(3)
+    pool = ["женские", "женская", "мужа", "муж", "платье", "women", "plain", "ПЛАТЬЕ", "x1"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 5))) for _ in range(200)]
+    keywords = ["женский", "муж", "платье", "woman"]
+    for lang in ("ru", "en"):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        full = G.normalize_text(df, "t", lemmas, language=lang)
+        want = {r.i: bool(set(r.t.split()) & set(keywords)) for r in full.collect()}
+        forms = set(G.keyword_forms(lemmas, keywords)[lang])
+        got = {i: bool({w.lower() for w in t.split()} & forms) for i, t in enumerate(texts)}
+        assert got == want
