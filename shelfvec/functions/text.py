@@ -19,6 +19,7 @@ WORD = r"\p{L}\p{N}_"
 TAG_PATTERN = r"<[^>]+>"
 PUNCTUATION_PATTERN = f"[^{WORD}{SPACE}]"
 SPACES_PATTERN = f"[{SPACE}]+"
+NO_WORD_PATTERN = f"[^{WORD}]+"
 BLANK_PATTERN = f"^[{SPACE}]*$"
 NO_INFO = "No info"
 
@@ -36,10 +37,6 @@ def fill_blank(value: Column | str, filler: str = NO_INFO) -> Column:
     return F.when(value.rlike(BLANK_PATTERN), F.lit(filler)).otherwise(value)
 
 
-def collapse_spaces(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, SPACES_PATTERN, " "))
-
-
 def words(value: Column | str) -> Column:
     """Whitespace tokens of an already cleaned text; a blank text has none."""
     return F.filter(F.split(as_column(value), " "), lambda token: token != F.lit(""))
@@ -52,32 +49,26 @@ def clean_text(value: Column | str, drop_words: Sequence[str] = ()) -> Column:
     in the given order.
     """
     text = F.regexp_replace(as_column(value), TAG_PATTERN, " ")
+    if all(map(_is_word, drop_words)):
+        # Whatever is no word character ends up as one space: a single pass.
+        text = F.trim(F.regexp_replace(text, NO_WORD_PATTERN, " "))
+        if not drop_words:
+            return text
+        # Tokens are whole words, so a hashed set test drops any number of them.
+        kept = F.filter(F.split(text, " "), lambda token: ~token.isin(*drop_words))
+        return F.array_join(kept, " ")
+    # Phrases are matched before whitespace is collapsed.
     text = F.regexp_replace(text, PUNCTUATION_PATTERN, " ")
-    for single, group in _runs(drop_words):
-        if single:
-            # After the punctuation pass every token is one whole word, so a
-            # hashed set test replaces a pass of the regex engine per word.
-            kept = F.filter(words(collapse_spaces(text)), lambda t: ~t.isin(*group))
-            text = F.array_join(kept, " ")
-        else:
-            for phrase in group:
-                text = F.regexp_replace(text, _phrase_pattern(phrase), " ")
-    return collapse_spaces(text)
-
-
-def _runs(drop_words: Sequence[str]) -> Iterable[tuple[bool, list[str]]]:
-    """Consecutive one-word entries together, phrases and others apart, order kept."""
-    runs: list[tuple[bool, list[str]]] = []
     for word in drop_words:
-        single = all(ch.isalnum() or ch == "_" for ch in word)
-        if runs and runs[-1][0] == single:
-            runs[-1][1].append(word)
-        else:
-            runs.append((single, [word]))
-    return runs
+        text = F.regexp_replace(text, _whole(word), " ")
+    return F.trim(F.regexp_replace(text, SPACES_PATTERN, " "))
+
+
+def _is_word(text: str) -> bool:
+    return text != "" and all(ch.isalnum() or ch == "_" for ch in text)
 
 
-def _phrase_pattern(phrase: str) -> str:
+def _whole(phrase: str) -> str:
     quoted = "\\Q" + phrase.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return f"(?<![{WORD}]){quoted}(?![{WORD}])"
 
@@ -97,3 +88,13 @@ def shares_word(tokens: Column | str, keywords: Iterable[str]) -> Column:
     return F.arrays_overlap(
         as_column(tokens), F.array(*[F.lit(word) for word in distinct])
     )
+
+
+def evaluated_once(value: Column) -> Column:
+    """``value``, kept from being copied into filters that refer to it.
+
+    A filter on a computed column is normally pushed below the projection,
+    which computes the column once for the filter and again for the result.
+    That is a loss when the column costs a pass over a long text.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)

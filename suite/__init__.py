@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfvec.sources.spread import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -32,5 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are costly to process, on all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def load() -> None:
-    from suite import catalog, embedding, evaluation, labelling, reporting, texts  # noqa: F401
+    from suite import (  # noqa: F401
+        catalog,
+        embedding,
+        evaluation,
+        labelling,
+        reporting,
+        texts,
+    )

@@ -216,6 +216,12 @@ def p12(spark, sf):
     return N.renumber(P.drop_null(numbered, "title"), ["nm"])
 
 
+@query("p13_required_columns", "SELECT doc_id, quality AS target FROM labels")
+def p13(spark, sf):
+    rows = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("target"))
+    return P.require_columns(rows, "doc_id", "target")
+
+
 @query(
     "p14_keep_finite",
     "SELECT vec_id FROM embeddings WHERE label NOT IN (0, 1)",

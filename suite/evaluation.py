@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from shelfvec.operators import metrics as M
 from shelfvec.operators.features import COMBINED, reduce_dimensions, standardize, vector_columns
-from shelfvec.operators.folds import class_weights, stratified_folds
+from shelfvec.operators.classify import Settings, logistic_regression
+from shelfvec.operators.folds import class_weights, stratified_folds, with_class_weights
 from shelfvec.plans.evaluation import evaluate, evaluation, run_suite
 from suite import query, table
 from suite.catalog import SHUFFLE_KEY_SQL
@@ -40,6 +41,21 @@ def m2(spark, sf):
     return reduced.select("row_id", *[F.round(axes[i], 6).alias(f"c{i}") for i in range(10)])
 
 
+@query(
+    "m2_full_rotation",
+    """WITH v AS (SELECT vec_id AS row_id, i AS place, embedding[i + 1]::DOUBLE AS x
+                  FROM embeddings, unnest(range(64)) r(i)),
+       s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS dev FROM v GROUP BY place)
+       SELECT row_id, round(sum(((x - mean) / dev) ** 2), 5) AS length2
+       FROM v JOIN s USING (place) GROUP BY row_id""",
+)
+def m2_full(spark, sf):
+    """All components together keep the length of every standardised vector."""
+    reduced = reduce_dimensions(vector_columns(vectors(spark, sf)), components=64)
+    square = F.aggregate(vector_to_array("PCA"), F.lit(0.0), lambda a, x: a + x * x)
+    return reduced.select("row_id", F.round(square, 5).alias("length2"))
+
+
 KEY_SQL = SHUFFLE_KEY_SQL.format(key="vec_id")
 FOLDS_SQL = f"""
 folds AS (SELECT vec_id AS row_id, label AS target,
@@ -107,6 +123,45 @@ def _store(spark, sf, *models):
     return whole
 
 
+# Newton steps on the balanced objective with one feature, penalty b * b / 2.
+NEWTON_SQL = """
+RECURSIVE d AS MATERIALIZED (
+  SELECT embedding[1]::DOUBLE AS x, (label = 0)::INT AS y,
+         count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY label = 0)) AS w
+  FROM embeddings),
+steps AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS b, 0.0::DOUBLE AS a
+  UNION ALL
+  SELECT step + 1, b - (haa * gb - hab * ga) / (hbb * haa - hab * hab),
+         a - (hbb * ga - hab * gb) / (hbb * haa - hab * hab)
+  FROM (SELECT step, b, a, sum(w * (p - y) * x) + b AS gb, sum(w * (p - y)) AS ga,
+               sum(w * p * (1 - p) * x * x) + 1 AS hbb, sum(w * p * (1 - p) * x) AS hab,
+               sum(w * p * (1 - p)) AS haa
+        FROM (SELECT step, b, a, x, y, w, 1 / (1 + exp(-(b * x + a))) AS p FROM steps, d)
+        GROUP BY step, b, a)
+  WHERE step < 25)
+"""
+
+
+@query(
+    "m5_coefficients",
+    f"""WITH {NEWTON_SQL}
+        SELECT 'first' AS feature, round(b, 3) AS coefficient, round(a, 3) AS intercept
+        FROM steps WHERE step = 25""",
+)
+def m5_coefficients(spark, sf):
+    """Balanced regression on one component, the same optimum as Newton's method."""
+    rows = _binary(spark, sf).join(vectors(spark, sf).drop("target"), "row_id")
+    one = rows.select("row_id", "target", array_to_vector(F.slice("text", 1, 1)).alias("first"))
+    split = one.withColumn("fold", F.lit(1))
+    # Fold 0 is empty, so its weights are those of the whole table.
+    weighted = with_class_weights(split, 2).withColumn("weight", F.col("weights")[0])
+    model = logistic_regression(weighted.count(), Settings(tol=1e-10), "first").fit(weighted)
+    found = [("first", float(model.coefficients[0]), float(model.intercept))]
+    fitted = spark.createDataFrame(found, "feature string, coefficient double, intercept double")
+    return fitted.withColumns({c: F.round(c, 3) for c in ("coefficient", "intercept")})
+
+
 @query("m5_m10_binary_logreg")
 def m5(spark, sf):
     """The flagship: cross-validated scores of every feature set."""

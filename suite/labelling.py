@@ -8,7 +8,7 @@ from shelfvec.functions.text import clean_text, words
 from shelfvec.operators import labels as L
 from shelfvec.operators.joins import align, gather, run_grid
 from shelfvec.operators.numbering import with_positions
-from suite import query, table
+from suite import query, table, text_table
 from suite.texts import clean_sql, list_sql, tokens_sql
 from suite.views import CLOTHES_SQL, LEMMA_ROWS, clothes, vectors
 
@@ -22,7 +22,7 @@ hits AS (SELECT doc_id AS row_id, list_has_any(tokens, {list_sql(ZERO)}) AS zero
 
 
 def _tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), words(clean_text(F.lower("text"))).alias("tokens")
     )
 

@@ -11,10 +11,11 @@ from shelfvec.operators.language import (
     normalize_columns,
     normalize_text,
 )
-from suite import query, table
+from suite import query, text_table
 
 SPACE_SQL = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
-DROP = ["div", "the", "charset utf", "li"]
+# The first phrase occurs with one space; the second only with two, and stays.
+DROP = ["div", "the", "html lang", "charset utf", "li"]
 
 
 def collapse_sql(text):
@@ -40,24 +41,24 @@ def list_sql(values):
 
 @query("t1_clean_text", f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
 def t1(spark, sf):
-    return table(spark, sf, "pages").select("page_id", clean_text("html").alias("clean"))
+    return text_table(spark, sf, "pages").select("page_id", clean_text("html").alias("clean"))
 
 
 # Attributes become text, so that words inside former tags are dropped too.
 OPENED_SQL = "replace(replace(html, '<', ' '), '>', ' ')"
 
 
-def _word_edge_sql(text, word):
-    # RE2 has no look-around: spaces are doubled, so neighbours do not share one.
-    spaced = f"' ' || replace({text}, ' ', '  ') || ' '"
-    return f"replace({spaced}, ' {word.replace(' ', '  ')} ', '   ')"
-
-
 def drop_sql(text, dropped):
-    text = collapse_sql(text)
+    """Words and phrases dropped one after the other, before spaces collapse.
+
+    RE2 has no look-around. Every space is doubled, so that neighbouring words
+    do not share one, and a dropped word leaves the halves of one more space.
+    """
+    text = f"' ' || regexp_replace({text}, '([{SPACE_SQL}])', '\\1\\1', 'g') || ' '"
     for word in dropped:
-        text = collapse_sql(_word_edge_sql(text, word))
-    return text
+        pattern = f"[{SPACE_SQL}]{word.replace(' ', '  ')}[{SPACE_SQL}]"
+        text = f"regexp_replace({text}, '{pattern}', '    ', 'g')"
+    return collapse_sql(text)
 
 
 @query(
@@ -66,7 +67,7 @@ def drop_sql(text, dropped):
 )
 def t2(spark, sf):
     opened = F.replace(F.replace("html", F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
-    return table(spark, sf, "pages").select("page_id", clean_text(opened, DROP).alias("clean"))
+    return text_table(spark, sf, "pages").select("page_id", clean_text(opened, DROP).alias("clean"))
 
 
 # German rows are spelled with Cyrillic vowels.
@@ -75,7 +76,7 @@ MIXED_SQL = "CASE WHEN lang = 'de' THEN translate(text, 'aeo', 'аео') ELSE te
 
 def _mixed(spark, sf):
     text = F.when(F.col("lang") == "de", F.translate("text", "aeo", "аео")).otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
 @query(
@@ -105,7 +106,7 @@ lemmas AS (
 
 
 def _lemmas(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     forms = docs.select(F.explode(words(clean_text("text"))).alias("form"))
     return (
         forms.where(F.col("form").rlike("..(s|e)$"))
@@ -133,7 +134,7 @@ def normalized_sql(key, text, source):
         SELECT doc_id, coalesce(line, '') AS line FROM documents LEFT JOIN lines USING (doc_id)""",
 )
 def t4(spark, sf):
-    cleaned = table(spark, sf, "documents").select("doc_id", clean_text("text").alias("line"))
+    cleaned = text_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("line"))
     return normalize_text(cleaned, "line", _lemmas(spark, sf), language="en")
 
 
@@ -146,7 +147,7 @@ def t4(spark, sf):
         FROM pages LEFT JOIN lines USING (page_id)""",
 )
 def t5(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = text_table(spark, sf, "pages").select("page_id", "html")
     return normalize_columns(pages, ["html"], _lemmas(spark, sf), ["clear_html"])
 
 
@@ -158,7 +159,7 @@ def t5(spark, sf):
         FROM cleaned""",
 )
 def t6(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", words(clean_text("text")).alias("tokens"))
+    docs = text_table(spark, sf, "documents").select("doc_id", words(clean_text("text")).alias("tokens"))
     return docs.select(
         "doc_id",
         F.size("tokens").alias("n_tokens"),
@@ -176,6 +177,6 @@ def t6(spark, sf):
 )
 def t7(spark, sf):
     tokens = words(clean_text(F.lower("text")))
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", shares_word(tokens, ["the", "and"]).alias("hit")
     )

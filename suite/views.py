@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suite import table
+from suite import table, text_table
 
 # Titles and descriptions get nulls and blanks where products have them.
 PRODUCTS_SQL = """
@@ -62,7 +62,7 @@ LEMMA_ROWS = [
 
 
 def clothes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     text = F.col("text")
     for old, new in (
         (" the ", " мужского "), (" le ", " женская "), (" de ", " детские "), (" in ", " Взрослых "),

@@ -27,6 +27,7 @@ FIXED = [
     "<>",
     "<<a>>",
     "don't stop-me New York City",
+    "New  York City a",
 ]
 
 
@@ -42,7 +43,7 @@ def run(spark, texts, expression):
 
 
 @pytest.mark.parametrize(
-    "drop", [(), ("xl", "б"), ("York City", "New York", "stop me"), ("a", "New York", "City", "0")]
+    "drop", [(), ("xl", "б"), ("York City", "New York", "stop me"), ("a", "New York", "City", "0"), ("don", "\\E")]
 )
 def test_clean_text_equals_python(spark, drop):
     texts = FIXED + random_texts(400)
