@@ -90,18 +90,25 @@ def require_same_length(first: Sequence, second: Sequence, what: str) -> None:
         raise ValueError(f"{what}: {len(first)} and {len(second)} entries given")
 
 
-def is_finite_vector(vector: Column | str) -> Column:
-    """False when any component is NaN or infinite."""
-    return ~F.exists(
-        as_column(vector), lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    )
+def is_finite_vector(vector: Column | str, element: T.DataType = T.FloatType()) -> Column:
+    """False when any component is NaN or infinite.
+
+    ``element`` is the component type. Membership tests are compiled; a lambda
+    over the components would be interpreted.
+    """
+    vector = as_column(vector)
+    found = [
+        F.coalesce(F.array_contains(vector, F.lit(float(odd)).cast(element)), F.lit(False))
+        for odd in ("nan", "inf", "-inf")
+    ]
+    return ~(found[0] | found[1] | found[2])
 
 
 def keep_finite(df: DataFrame, columns: Sequence[str], on_bad: str = "raise") -> DataFrame:
     """Stop at, or with ``on_bad="drop"`` leave out, rows with NaN or infinity."""
-    good = is_finite_vector(columns[0])
-    for name in columns[1:]:
-        good = good & is_finite_vector(name)
+    good = F.lit(True)
+    for name in columns:
+        good = good & is_finite_vector(name, df.schema[name].dataType.elementType)
     if on_bad == "drop":
         return df.where(good)
     message = F.lit(f"NaN or infinity in {', '.join(columns)}")

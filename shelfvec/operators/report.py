@@ -36,7 +36,12 @@ def relative_to_baseline(
     metrics: Sequence[str] = METRICS,
     **join_options,
 ) -> DataFrame:
-    """Percent change of each metric against the baseline row of the same data type."""
+    """Percent change of each metric against the baseline row of the same data type.
+
+    The means are written first, or their source would be read once for the
+    baseline and again for the rest.
+    """
+    means = materialize(means, "means")
     base = means.where(F.col(model) == baseline).select(
         *match, *[F.col(name).alias(f"_{name}") for name in metrics]
     )
@@ -81,9 +86,10 @@ def best_rows(
     value = F.col(metric)
     known = results.where(value.isNotNull() & ~F.isnan(value.cast("double")))
     top = known.groupBy(*by).agg(F.max(metric).alias("_top"))
-    ties = lookup_join(known, top, by, "inner", **join_options).where(value == F.col("_top"))
+    tied = lookup_join(known, top, by, "inner", **join_options).where(value == F.col("_top"))
+    ties = materialize(tied.drop("_top"), "ties")
     first = ties.groupBy(*by).agg(F.min(position).alias("_first"))
-    chosen = lookup_join(ties.drop("_top"), first, by, "inner", **join_options)
+    chosen = lookup_join(ties, first, by, "inner", **join_options)
     return chosen.where(F.col(position) == F.col("_first")).select(*results.columns)
 
 

@@ -26,6 +26,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    application = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/shelfvec/{application}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(
     df: DataFrame, label: str = "stage", partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -33,10 +38,11 @@ def materialize(
 
     Unlike a cached frame the result survives lost executors, is read with
     column pruning, and carries the file sizes the optimiser needs to choose
-    a join strategy.
+    a join strategy. Tables lie under the application id, so that all those of
+    a finished application can be deleted together.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/shelfvec/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +10,7 @@ from shelfvec.operators import prepare as P
 from shelfvec.operators.joins import append
 from shelfvec.plans.preparation import prepare_catalog, prepare_training, prepared_columns
 from shelfvec.sources.products import read_products, read_splits
-from shelfvec.sources.scratch import scratch_root
+from shelfvec.sources.scratch import fresh_path
 from shelfvec.sources.tables import read_csv, write_csv
 from shelfvec.sources.vectors import read_vectors, write_vectors
 from suite import query, table
@@ -21,10 +19,6 @@ from suite.views import PRODUCTS_SQL, products, vectors
 BLANK_SQL = r"'^[\s\x0b\x1c-\x1f\x{85}\p{Z}]*$'"
 
 
-def fresh_path(spark, label):
-    return f"{scratch_root(spark)}/shelfvec/{label}-{uuid.uuid4().hex}"
-
-
 @query("s1_read_products", f"WITH {PRODUCTS_SQL} SELECT * FROM products")
 def s1(spark, sf):
     path = fresh_path(spark, "products")
