@@ -66,17 +66,31 @@ def _required(matched: Column, message: str) -> Column:
     )
 
 
-def gather(labels: DataFrame, vectors: DataFrame, key: str = "row_id") -> DataFrame:
+def gather(
+    labels: DataFrame,
+    vectors: DataFrame,
+    key: str = "row_id",
+    limit_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Vectors at the labelled positions; a repeated position repeats its vector.
 
-    A position without a vector stops the query. The check rides on the one
-    join instead of a separate anti-join pass.
+    A position without a vector stops the query. Labels of measured small size
+    are broadcast, so the vectors, far wider, are not shuffled; the check then
+    reads the key column alone. Otherwise both sides are shuffled and the check
+    rides on the join; should one position hold a large share of the labels,
+    the adaptive skew join splits it, as there is one vector per position.
     """
-    found = vectors.withColumn("_found", F.lit(True))
-    joined = labels.join(found, key, "left")
-    return joined.where(
-        _required(F.col("_found").isNotNull(), "label position outside the vector table")
-    ).drop("_found")
+    message = "label position outside the vector table"
+    labels = materialize(labels, "labels")
+    columns = [*labels.columns, *[name for name in vectors.columns if name != key]]
+    if measured_bytes(labels) <= limit_bytes:
+        keys = labels.select(key).distinct()
+        found = vectors.select(key).join(F.broadcast(keys), key, "left_semi")
+        if found.count() < keys.count():
+            raise ValueError(message)
+        return vectors.join(F.broadcast(labels), key).select(*columns)
+    joined = labels.join(vectors.withColumn("_found", F.lit(True)), key, "left")
+    return joined.where(_required(F.col("_found").isNotNull(), message)).select(*columns)
 
 
 def align(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:

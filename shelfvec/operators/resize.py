@@ -53,11 +53,15 @@ def resize_images(
 def complete_images(
     manifest: DataFrame, resized: DataFrame, size: tuple[int, int] = IMAGE_SIZE
 ) -> DataFrame:
-    """One picture per manifest row: a black one, flagged ``missing``, where none was read."""
+    """One picture per manifest row: a black one, flagged ``missing``, where none was read.
+
+    Decoded pixels outgrow any estimate made from file sizes, so the pictures
+    are never broadcast.
+    """
     width, height = size
     black = F.unhex(F.repeat(F.lit("00"), 3 * width * height))
     missing = F.col("data").isNull()
-    return manifest.join(resized, "nm", "left").withColumns(
+    return manifest.join(resized.hint("merge"), "nm", "left").withColumns(
         {
             "missing": missing,
             "width": F.coalesce("width", F.lit(width)),

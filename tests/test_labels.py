@@ -150,16 +150,28 @@ def test_multiclass_labels(spark):
 def test_gather_and_align(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "row_id long, text array<float>")
     labels = spark.createDataFrame([(1, 0), (1, 1)], "row_id long, target int")
-    got = sorted((r.row_id, r.target, r.text[0]) for r in J.gather(labels, vectors).collect())
-    assert got == [(1, 0, 2.0), (1, 1, 2.0)]
-    with pytest.raises(Exception, match="outside the vector table"):
-        J.gather(labels.selectExpr("row_id + 1 AS row_id", "target"), vectors).select("target").collect()
+    for limit in (10**9, -1):
+        out = J.gather(labels, vectors, limit_bytes=limit)
+        assert out.columns == ["row_id", "target", "text"]
+        assert sorted((r.row_id, r.target, r.text[0]) for r in out.collect()) == [(1, 0, 2.0), (1, 1, 2.0)]
+        outside = labels.selectExpr("row_id + 1 AS row_id", "target")
+        with pytest.raises(Exception, match="outside the vector table"):
+            J.gather(outside, vectors, limit_bytes=limit).select("target").collect()
     whole = spark.createDataFrame([(0, 5), (1, 6)], "row_id long, target int")
     assert J.align(whole, vectors).count() == 2
     with pytest.raises(Exception, match="differ in their row positions"):
         J.align(whole.where("row_id = 0"), vectors).select("target").collect()
 
 
+def test_small_labels_leave_the_vectors_in_place(spark, plan_of):
+    vectors = spark.range(100).selectExpr("id AS row_id", "array(1.0f) AS text")
+    labels = spark.range(10).selectExpr("id AS row_id", "1 AS target")
+    plan = plan_of(J.gather(labels, vectors))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    large = plan_of(J.gather(labels, vectors.hint("merge"), limit_bytes=-1))
+    assert "SortMergeJoin" in large
+
+
 def test_lookup_join_both_plans_agree_on_a_hot_key(spark, plan_of):
     rows = spark.range(3000).selectExpr("id", "IF(id < 2000, 'hot', concat('k', id % 50)) AS k", "id % 7 AS v")
     lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, x int")

@@ -10,9 +10,10 @@ from shelfvec.functions import pixels as X
 from shelfvec.operators import encode as E
 from shelfvec.operators import resize as Z
 from shelfvec.operators import similarity as S
+from shelfvec.operators.joins import gather
 from shelfvec.plans.embedding import embed_catalog, store_embeddings
 from shelfvec.sources.images import read_images
-from shelfvec.sources.vectors import read_vectors
+from shelfvec.sources.vectors import read_bucketed, read_vectors, write_bucketed
 from suite.onnx_model import matmul_model, weight
 
 
@@ -180,6 +181,12 @@ def test_read_and_resize_files(spark, image_dir):
     assert exact == {1: (16, 16), 2: (16, 16), 3: (16, 16)}
 
 
+def test_pictures_are_never_broadcast(spark, image_dir, plan_of):
+    manifest = spark.createDataFrame([(1,)], "nm long")
+    plan = plan_of(Z.complete_images(manifest, Z.resize_images(read_images(spark, image_dir))))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_missing_pictures_are_black(spark, image_dir):
     manifest = spark.createDataFrame([(1,), (4,), (99,)], "nm long")
     out = {r.nm: r for r in Z.complete_images(manifest, Z.resize_images(read_images(spark, image_dir))).collect()}
@@ -203,3 +210,18 @@ def test_catalog_to_store_and_back(spark, image_dir, tmp_path, plan_of):
     assert list(out[0].img) == [16, 8, 250, 10] and list(out[1].img) == [16, 16, 0, 0]
     plan = plan_of(read.select("row_id", F.size("text")))
     assert "(model#" in plan.split("PartitionFilters")[1] and "img" not in plan.split("ReadSchema")[1]
+
+
+def test_bucketed_store_joins_without_moving_vectors(spark, tmp_path, plan_of):
+    rows = spark.range(200).selectExpr(
+        "'m' AS model", "id AS row_id", "array(CAST(id AS float)) AS text", "array(1.0f) AS img"
+    )
+    spark.sql("DROP TABLE IF EXISTS bucketed_vectors")
+    write_bucketed(rows, "bucketed_vectors", 4, str(tmp_path / "b"))
+    store = read_bucketed(spark, "bucketed_vectors", ["m"])
+    labels = spark.range(0, 200, 2).selectExpr("id AS row_id", "1 AS target")
+    joined = gather(labels, store.hint("merge"), limit_bytes=-1)
+    plan = plan_of(joined)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert sorted(r.text[0] for r in joined.collect()) == [float(i) for i in range(0, 200, 2)]
+    spark.sql("DROP TABLE bucketed_vectors")
