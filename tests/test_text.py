@@ -137,6 +137,8 @@ def test_keyword_forms_equal_lemmatising_everything(spark, lemmas):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
         full = G.normalize_text(df, "t", lemmas, language=lang)
         want = {r.i: bool(set(r.t.split()) & set(keywords)) for r in full.collect()}
-        forms = set(G.keyword_forms(lemmas, keywords)[lang])
+        forms = set(G.keyword_forms(lemmas, keywords, ["other"])[0][lang])
         got = {i: bool({w.lower() for w in t.split()} & forms) for i, t in enumerate(texts)}
         assert got == want
+    with pytest.raises(ValueError, match="forms"):
+        G.keyword_forms(lemmas, keywords, limit=1)
