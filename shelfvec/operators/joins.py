@@ -14,7 +14,8 @@ from shelfvec.sources.scratch import materialize
 
 # A lookup is broadcast only while its measured size stays below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Slices per key once a lookup is too large to broadcast.
+# Beyond that, keys of more rows than this are cut into this many slices.
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -37,14 +38,17 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     limit_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` to a ``lookup`` with one row per key.
 
-    The lookup is written out and measured. A small one is broadcast, so
-    ``rows`` is not shuffled and hot keys cost nothing. A larger one is
-    copied ``salts`` times and joined on key and salt, so that a key holding a
-    large share of ``rows`` is spread over ``salts`` tasks.
+    The lookup is written and measured. A small one is broadcast, so ``rows``
+    is not shuffled and hot keys cost nothing. A larger one is joined by
+    shuffle on key and salt. Keys of more than ``hot_rows`` rows get ``salts``
+    slices and as many copies of their lookup row; all others have one slice.
+    There are at most ``count / hot_rows`` hot keys, which bounds what is
+    broadcast to mark them.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
@@ -52,12 +56,23 @@ def lookup_join(
     keys = list(keys)
     if measured_bytes(lookup) <= limit_bytes:
         return rows.join(F.broadcast(lookup), keys, how)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(
+        counts.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")), "hot"
+    )
     part, content = copy_spread(rows.columns)
-    salted_rows = rows.withColumn("_salt", F.pmod(content + part, F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    # Null keys match nothing and would otherwise all meet in one task.
+    loose = F.col("_hot") | reduce(Column.__or__, [F.col(key).isNull() for key in keys])
+    slice_of_row = F.when(loose, F.pmod(content + part, F.lit(salts)).cast("int"))
+    slices = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.coalesce(slice_of_row, F.lit(0))
+    )
+    salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.coalesce(slices, F.array(F.lit(0))))
     )
-    return salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    joined = salted_rows.drop("_hot").join(salted_lookup.drop("_hot"), [*keys, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def _required(matched: Column, message: str) -> Column:

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfvec.functions.ordering import copy_spread
 from shelfvec.operators import joins as J
 from shelfvec.operators import labels as L
 
@@ -177,7 +179,7 @@ def test_lookup_join_both_plans_agree_on_a_hot_key(spark, plan_of):
     lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, x int")
     for how in ("left", "inner"):
         small = J.lookup_join(rows, lookup, ["k"], how)
-        large = J.lookup_join(rows, lookup, ["k"], how, limit_bytes=-1)
+        large = J.lookup_join(rows, lookup, ["k"], how, limit_bytes=-1, hot_rows=1000)
         assert "BroadcastHashJoin" in plan_of(small)
         assert "_salt" in plan_of(large)
         a = sorted(tuple(r) for r in small.select("id", "k", "v", "x").na.fill(-1).collect())
@@ -187,11 +189,27 @@ def test_lookup_join_both_plans_agree_on_a_hot_key(spark, plan_of):
         J.lookup_join(rows, lookup, ["k"], "full_outer")
 
 
-def test_salt_spreads_copies_of_one_row(spark):
-    from pyspark.sql import functions as F
+def test_only_hot_keys_are_sliced(spark, plan_of):
+    """The rows of a hot key reach many tasks; other keys keep one lookup row."""
+    key = "CASE WHEN id < 2500 THEN 'hot' WHEN id < 5000 THEN NULL ELSE concat('k', id % 50) END AS k"
+    rows = spark.range(6000).selectExpr("id", key).repartition(8)
+    lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(50)], "k string, x int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = J.lookup_join(
+            rows, lookup.hint("merge"), ["k"], limit_bytes=-1, hot_rows=1000, salts=32
+        )
+        assert "SortMergeJoin" in plan_of(joined)
+        placed = joined.groupBy(F.spark_partition_id().alias("part"))
+        sizes = [r.n for r in placed.agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 6000 and max(sizes) < 2000
 
-    from shelfvec.functions.ordering import copy_spread
 
+def test_salt_spreads_copies_of_one_row(spark):
     copies = spark.range(8000).select(F.lit("hot").alias("k")).repartition(16)
     part, content = copy_spread(copies.columns)
     sizes = copies.groupBy(F.pmod(content + part, F.lit(64)).alias("s")).count().collect()
