@@ -9,9 +9,15 @@ from pyspark.sql import types as T
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Fields may hold line breaks, so a file is one task; many files are many."""
-    return spark.read.options(**CSV_OPTIONS, multiLine=True).schema(schema).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
+) -> DataFrame:
+    """Fields may hold line breaks, so a file is one task; many files are many.
+
+    Turn ``multi_line`` off for label and result tables: their files can then
+    be split.
+    """
+    return spark.read.options(**CSV_OPTIONS, multiLine=multi_line).schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -12,6 +12,7 @@ from shelfvec.operators.similarity import (
     contrastive_loss,
     l2_normalize,
 )
+from shelfvec.sources.shipping import ensure_shipped
 from suite import query, table
 from suite.onnx_model import matmul_model
 from suite.views import PIXELS_SQL, pictures, vectors
@@ -43,6 +44,7 @@ def plain_encoder():
         FROM documents JOIN sums ON doc_id = nm""",
 )
 def e1(spark, sf):
+    ensure_shipped(spark, "suite")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("nm"), "text")
     resized = resize_images(pictures(spark, sf))
     rows = docs.join(resized, "nm").select(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfvec.functions.ordering import copy_spread
+from shelfvec.functions.text import clean_text, words
 from shelfvec.operators import joins as J
 from shelfvec.operators import labels as L
 
@@ -59,6 +60,13 @@ def test_keyword_labelling_does_not_shuffle(clothes, lemmas, plan_of):
     assert "Exchange" not in main and "Python" not in plan
 
 
+def test_texts_are_cleaned_once(spark, plan_of):
+    texts = spark.createDataFrame([(0, "a b")], "row_id long, t string")
+    tokens = texts.select("row_id", words(clean_text("t")).alias("tokens"))
+    plan = plan_of(L.label_by_keywords(tokens, "tokens", ["a"], ["b"]))
+    assert plan.count("regexp_replace") == 2
+
+
 def test_word_lists_have_the_stated_sizes():
     assert len(L.CLOTHING_CATEGORIES) == 9 and len(L.MALE_WORDS) == 9
     assert len(L.FEMALE_WORDS) == 13 and len(L.CHILD_WORDS) == 9

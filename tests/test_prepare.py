@@ -104,6 +104,10 @@ def test_csv_keeps_free_text(spark, tmp_path):
     write_csv(df, str(tmp_path / "t"))
     back = read_csv(spark, str(tmp_path / "t"), df.schema)
     assert sorted(tuple(r) for r in back.collect()) == rows
+    labels = spark.range(5).selectExpr("id AS row_id", "CAST(id % 2 AS int) AS target")
+    write_csv(labels, str(tmp_path / "l"))
+    again = read_csv(spark, str(tmp_path / "l"), labels.schema, multi_line=False)
+    assert sorted(tuple(r) for r in again.collect()) == [(i, i % 2) for i in range(5)]
 
 
 def test_product_reader_pushes_filters_and_prunes(spark, products, tmp_path, plan_of):

@@ -55,7 +55,7 @@ def test_clean_text_example(spark):
 
 
 def test_drop_words_are_literal_and_whole(spark):
-    # The reference pattern would read the dot as any character.
+    # As a pattern the dot would match any character.
     assert run(spark, ["a.c abc ab"], clean_text("t", ["a.c"])) == ["a c abc ab"]
     assert run(spark, ["xl xxl xl2"], clean_text("t", ["xl"])) == ["xxl xl2"]
 
