@@ -166,14 +166,32 @@ def r8(spark, sf):
     return summary.withColumns({c: F.round(c, 6) for c in ("q25", "q50", "q75")})
 
 
+def _projected(spark, sf, column):
+    rows = vectors(spark, sf).select("row_id", column.alias("text"))
+    catalog = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("category"), F.col("text").alias("title")
+    )
+    return R.project_vectors(rows, catalog)
+
+
+@query(
+    "r9_three_of_three",
+    """WITH v AS (SELECT vec_id AS row_id, i AS place, embedding[i + 1]::DOUBLE AS x
+                  FROM embeddings, unnest(range(3)) r(i)),
+       s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS dev FROM v GROUP BY place),
+       l AS (SELECT row_id, sum(((x - mean) / dev) ** 2) AS length2
+             FROM v JOIN s USING (place) GROUP BY row_id)
+       SELECT row_id, source AS category, text AS title, round(length2, 5) AS length2
+       FROM l JOIN documents ON doc_id = row_id""",
+)
+def r9_three(spark, sf):
+    """Three components of a three-wide vector keep its standardised length."""
+    points = _projected(spark, sf, F.slice("text", 1, 3))
+    length = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2
+    return points.select("row_id", "category", "title", F.round(length, 5).alias("length2"))
+
+
 @query("r9_projection")
 def r9(spark, sf):
-    rows = vectors(spark, sf)
-    catalog = rows.join(
-        table(spark, sf, "documents").select(
-            F.col("doc_id").alias("row_id"), F.col("source").alias("category"), F.col("text").alias("title")
-        ),
-        "row_id",
-    )
-    points = R.project_vectors(rows, catalog)
+    points = _projected(spark, sf, F.col("text"))
     return points.withColumns({axis: F.round(axis, 6) for axis in "xyz"})
