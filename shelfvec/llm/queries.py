@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvec.llm import pieces
+from shelfvec.llm import pieces, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_files": op1_token_files,
     "op10_pieces": op10_pieces,
 }
 
