@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvec.llm import pieces, token_files
+from shelfvec.llm import fertility, lines, pieces, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +19,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op6_fertility": op6_fertility,
+    "op9_lines": op9_lines,
     "op10_pieces": op10_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_lines": lines.SQL,
+}
