@@ -1,0 +1,59 @@
+"""Connected components of a graph given as edges, by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfvec.sources.scratch import materialize
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    near = _both_ways(edges)
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return (
+        near.join(least, "u")
+        .where(F.col("v") > F.col("u"))
+        .select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .distinct()
+    )
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")
+    ).first()
+    return row["n"], row["s"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for each node of an edge; the root is the smallest node of its component.
+
+    ``edges`` has long columns ``u, v``. Every round is two joins on one key
+    with map-side minima, stored in the shared folder; the number of rounds
+    grows with the logarithm of the longest path. No component is gathered.
+    """
+    current = materialize(
+        edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+        "edges",
+    )
+    state = _state(current)
+    while state[0]:
+        current = materialize(_small_star(_large_star(current)), "edges")
+        after = _state(current)
+        if after == state:
+            break
+        state = after
+    roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvec.llm import fertility, lines, pieces, token_files
+from shelfvec.llm import fertility, lines, pieces, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op5_simhash": op5_simhash,
     "op6_fertility": op6_fertility,
     "op9_lines": op9_lines,
     "op10_pieces": op10_pieces,
