@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvec.llm import fertility, lines, pieces, simhash, token_files
+from shelfvec.llm import contamination, fertility, lines, pieces, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks_of(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_contamination": op2_contamination,
     "op5_simhash": op5_simhash,
     "op6_fertility": op6_fertility,
     "op9_lines": op9_lines,
