@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfvec.llm import contamination, fertility, lines, pieces, simhash, token_files
+from shelfvec.llm import (
+    contamination,
+    extraction,
+    fertility,
+    language_id,
+    lines,
+    pieces,
+    simhash,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +34,10 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -33,6 +46,10 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -44,8 +61,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_contamination": op2_contamination,
+    "op3_language": op3_language,
     "op5_simhash": op5_simhash,
     "op6_fertility": op6_fertility,
+    "op8_extraction": op8_extraction,
     "op9_lines": op9_lines,
     "op10_pieces": op10_pieces,
 }
