@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfvec.llm.arrow_rows import list_column, texts_of
-from shelfvec.sources.scratch import fresh_path
+from shelfvec.sources.scratch import fresh_path, materialize
 from shelfvec.sources.shipping import ensure_shipped
 
 #: Words kept in a worker's memo, and the longest word worth keeping.
-MEMO_WORDS, MEMO_CHARS = 800_000, 64
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 FILE_SCHEMA = T.StructType(
     [
@@ -39,6 +40,12 @@ FILE_SCHEMA = T.StructType(
     ]
 )
 
+#: Latin-1 bytes as one of three kinds: lower-case letter, full stop or comma, other.
+KINDS = bytes(
+    ord("a") if chr(b).isalpha() and chr(b).islower() else ord(".") if chr(b) in ".," else ord(" ")
+    for b in range(256)
+)
+
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -58,9 +65,9 @@ class WordEncoder:
     """Ids of whole texts under a tokenizer that drops white space.
 
     Text between white space is encoded by itself, once for each distinct word,
-    by the tokenizers library. Of a word the memo lacks, closing punctuation
-    after a letter is a token run of its own, and the case of Latin-1 letters
-    does not matter; so variants of a word share the library's call.
+    by the tokenizers library. In texts of Latin-1 characters case does not
+    matter, and a full stop or comma after a letter is a run of its own; so the
+    variants of a word share the library's call.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -73,38 +80,51 @@ class WordEncoder:
         if sum(pieces, []) != self.ids(probe):
             raise ValueError(f"{tokenizer_file} keeps case, white space or words together")
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _new(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] < "Ā":
-            out = self.word(word[:-1]) + self.word(word[-1])
-        elif max(word) < "Ā" and "<|" not in word and (low := word.lower()) != word:
-            out = self.word(low)
-        else:
-            out = np.array(self.ids(word), dtype="<i4").tobytes()
+    def _keep(self, word: str, ids: bytes) -> None:
+        """Into the memo; once it is full, words not met again since go first."""
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-                self.memo[""] = b""
-            self.memo[word] = out
-        return out
+                self.older, self.memo = self.memo, {"": b""}
+            self.memo[word] = ids
 
     def word(self, word: str) -> bytes:
         found = self.memo.get(word)
-        return self._new(word) if found is None else found
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = array("i", self.ids(word)).tobytes()
+            self._keep(word, found)
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """All ids as little-endian 32-bit integers; a null text is empty."""
         if not text:
             return b""
+        if "<|" not in text:
+            text = _variants_joined(text)
         # Only characters that are white space to every library; others stay in the words.
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         memo = self.memo
         return b"".join([memo.get(w) or self.word(w) for w in words])
 
 
+def _variants_joined(text: str) -> str:
+    """A Latin-1 text in lower case, its full stops and commas set off where that changes no id."""
+    low = text.lower()
+    try:
+        kinds = low.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return text
+    if kinds.startswith(b".") or b" ." in kinds or b".." in kinds:
+        return low
+    return low.replace(".", " .").replace(",", " ,")
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -170,10 +190,14 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def part_starts(rows: DataFrame) -> DataFrame:
-    """Ids before each file's first one; a row for each file, from metadata columns only."""
+    """Ids before each file's first one; a row for each file, from metadata columns only.
+
+    Stored, so that its size is known and a join need not shuffle the tokens for it.
+    """
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    return materialize(starts, "part-starts")
 
 
 def read_tokens(
