@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfvec.llm import (
+    class_lm,
     contamination,
     extraction,
     fertility,
@@ -38,6 +39,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_contamination": op2_contamination,
     "op3_language": op3_language,
+    "op4_class_lm": op4_class_lm,
     "op5_simhash": op5_simhash,
     "op6_fertility": op6_fertility,
     "op8_extraction": op8_extraction,
