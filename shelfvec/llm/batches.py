@@ -32,6 +32,9 @@ BATCH_BYTES = 8 << 20
 #: Text bytes whose questions a bucket answers, about.
 BUCKET_BYTES = 32 << 20
 
+#: Instead of a bucket: what a batch notes for its own later passes.
+NOTES = -1
+
 PACKED = T.StructType(
     [
         T.StructField("batch", T.LongType(), False),
@@ -114,11 +117,17 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def ask(
     batches: DataFrame, questions: Callable[[list, list[bytes], dict], Iterator[tuple[int, object]]]
 ) -> DataFrame:
-    """``batch, bucket, question`` rows, for the buckets that a batch has keys in."""
+    """``batch, bucket, question`` rows, for the buckets that a batch has keys in.
+
+    A question under ``NOTES`` goes to a group of its own batch, or few batches.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, texts, answers in _opened(parts):
-            asked = [(b, pack(q)) for b, q in questions(ids, texts, answers)]
+            own = NOTES - (batch + (batch >> 32) * 7919) % (1 << 30)
+            asked = [
+                (own if b == NOTES else b, pack(q)) for b, q in questions(ids, texts, answers)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([batch] * len(asked), pa.int64()),
@@ -139,7 +148,7 @@ def _opened(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[b
             answers = {}
             if "answers" in part.schema.names:
                 for x in part.column("answers")[row].as_py() or []:
-                    answers[x["bucket"]] = unpack(x["answer"])
+                    answers[max(x["bucket"], NOTES)] = unpack(x["answer"])
             yield part.column("batch")[row].as_py(), ids, texts, answers
 
 

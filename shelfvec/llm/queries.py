@@ -15,6 +15,7 @@ from shelfvec.llm import (
     lines,
     pieces,
     simhash,
+    suffix_dedup,
     token_files,
 )
 
@@ -51,6 +52,10 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.page_texts(table(spark, sf_dir, "pages"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_class_lm": op4_class_lm,
     "op5_simhash": op5_simhash,
     "op6_fertility": op6_fertility,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_extraction": op8_extraction,
     "op9_lines": op9_lines,
     "op10_pieces": op10_pieces,
