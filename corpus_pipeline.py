@@ -1,26 +1,58 @@
-"""A training-corpus pipeline over ``documents``: five stages, each stored and reread."""
+"""A training-corpus pipeline over ``documents``: five stages, each stored and reread.
+
+Every stage works on all that the one before it kept. All but the last return
+the columns of ``documents``; the last one adds the token ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfvec.llm import pieces
+from shelfvec.llm import contamination, fertility, lines, pieces, simhash
 from shelfvec.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return fertility.keep_good(docs)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand on many sites; ``n_chars`` follows the text."""
+    kept = lines.drop_spread_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one_of_copies(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.without_leaks(docs, items)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids."""
     return pieces.encode_pieces(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("sentencepiece", encoded),
+    ("quality", quality),
+    ("lines", without_boilerplate),
+    ("near-copies", one_of_copies),
+    ("contamination", decontaminated),
+    ("tokens", encoded),
 ]
 
+#: The stages use fingerprints, search and a tokenizer that SQL cannot express.
 ORACLE_SQL: str | None = None
 
 

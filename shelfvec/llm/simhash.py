@@ -34,13 +34,13 @@ SEED = 42
 FANOUT = 8
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bits set in over half the XXH64 of a text's shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Rows of eight bytes: big-endian XXH64 of each shingle, repeats included."""
     import xxhash
 
     words = words_of(ascii_lower(text)) if text else []
     if not words:
-        return 0
+        return np.empty((0, 8), dtype="u1")
     joined = " ".join(words).encode()
     gaps = np.flatnonzero(np.frombuffer(joined, dtype="u1") == 32)
     width = min(shingle, len(words))
@@ -48,33 +48,60 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = [*gaps.tolist(), len(joined)][width - 1 :]
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)])
-    rows = np.frombuffer(hashes, dtype="u1").reshape(-1, 8)
+    return np.frombuffer(hashes, dtype="u1").reshape(-1, 8)
+
+
+def majority_bits(rows: np.ndarray) -> int:
+    """Bits set in over half the hashes; zero without any."""
     counts = sum(
         np.unpackbits(rows[i : i + 65_536], axis=1).sum(axis=0, dtype="int64")
         for i in range(0, len(rows), 65_536)
     )
-    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big") if len(rows) else 0
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, drop_text: bool = False) -> DataFrame:
-    """Add ``fp`` (the 64 bits as a signed long) and ``row`` (a number of the row)."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bits set in over half the XXH64 of a text's shingles, repeats included."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
+def least_hashes(rows: np.ndarray, most: int) -> list[int]:
+    """The smallest distinct hashes, as signed longs."""
+    values = np.unique(rows.reshape(-1).view(">u8"))[:most]
+    return values.astype("u8").view("i8").tolist()
+
+
+def fingerprints(
+    docs: DataFrame, text_col: str = "text", shingle: int = 3, drop_text: bool = False, least: int = 0
+) -> DataFrame:
+    """Add ``fp`` (the 64 bits as a signed long) and ``row`` (a number of the row).
+
+    With ``least`` the column ``keys`` holds so many of the smallest hashes.
+    """
     ensure_shipped(docs.sparkSession)
-    gone = {"fp", "row", *([text_col] if drop_text else [])}
-    rest = [f for f in docs.schema.fields if f.name not in gone]
+    new = ["fp", "row", *(["keys"] if least else [])]
+    rest = [f for f in docs.schema.fields if f.name not in {*new, *([text_col] if drop_text else [])}]
     kept = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
+    if least:
+        schema = schema.add(T.StructField("keys", T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            bits = [fingerprint(t, shingle) for t in batch.column(text_col).to_pylist()]
+            bits, keys = [], []
+            for text in batch.column(text_col).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                bits.append(majority_bits(hashes))
+                if least:
+                    keys.append(least_hashes(hashes, least))
             rows = np.arange(number, number + len(bits))
             number += len(bits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in kept]
-                + [pa.array(np.array(bits, dtype="u8").view("i8")), pa.array(rows)],
-                names=[*kept, "fp", "row"],
-            )
+            columns = [batch.column(n) for n in kept]
+            columns += [pa.array(np.array(bits, dtype="u8").view("i8")), pa.array(rows)]
+            if least:
+                columns.append(pa.array(keys, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     return docs.mapInArrow(run, schema)
 
@@ -261,3 +288,97 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     return near_copies(marked).select(
         "doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def similar_texts(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of ``u, v, text_u, text_v`` the pairs whose shingle sets have that Jaccard similarity."""
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = []
+            for a, b in zip(batch.column("text_u"), batch.column("text_v"), strict=True):
+                x, y = (np.unique(shingle_hashes(t.as_py(), shingle).reshape(-1).view(">u8")) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            picked = batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(picked.columns, names=["u", "v"])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def keep_one_of_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    max_bits: int = 2,
+    far_bits: int = 16,
+    keys: int = 8,
+) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id.
+
+    Links are pairs with a Jaccard similarity of ``similarity`` over word
+    shingles, verified on whole texts. Two searches propose pairs: the Gray-order
+    index gives fingerprints at most ``max_bits`` apart; and as copies near the
+    threshold differ in more bits than an index of blocks can reach, texts
+    that share one of their ``keys`` least shingle hashes are compared to the
+    first such text if their fingerprints are at most ``far_bits`` apart.
+
+    Equal texts count once in the search. Null and empty texts are copies of
+    each other. Among rows of one id the first stored stays; null ids come last.
+    Columns of any names pass through. An empty table gives an empty table.
+    """
+    wrapped = docs.select(
+        F.struct(*docs.columns).alias("_in"),
+        F.col(id_col).alias("_id"),
+        F.coalesce(text_col, F.lit("")).alias("_text"),
+    )
+    marked = materialize(fingerprints(wrapped, "_text", shingle, least=keys), "marked")
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "row")
+    same = ["fp", "_digest"]
+    light = marked.select("fp", F.xxhash64("_text").alias("_digest"), "row", "_id", "keys")
+    texts = materialize(
+        light.groupBy(*same).agg(F.min(place).alias("place"), F.min_by("keys", place).alias("keys")).select(
+            *same, "place", F.col("place.row").alias("row"), "keys"
+        ),
+        "distinct-texts",
+    )
+    first = texts.groupBy("fp").agg(F.min("row").alias("row"))
+    links = close_links(first.select("fp"), max_bits)
+    of = lambda side, name: texts.select(F.col("fp").alias(side), F.col("row").alias(name))
+    near = links.select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    near = near.join(of("fu", "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("row").alias("v")), "fv")
+    alike = of("fu", "u").join(first.select(F.col("fp").alias("fu"), F.col("row").alias("v")), "fu")
+    keyed = texts.select("row", "fp", F.explode("keys").alias("key"))
+    heads = (
+        keyed.groupBy("key")
+        .agg(F.min(F.struct("row", "fp")).alias("head"), F.count("*").alias("n"))
+        .where(F.col("n") > 1)
+        .select("key", F.col("head.row").alias("v"), F.col("head.fp").alias("fv"))
+    )
+    sharing = keyed.join(heads, "key").where(
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("fv"))) <= far_bits
+    )
+    pairs = near.select("u", "v").union(alike.select("u", "v")).union(sharing.select(F.col("row").alias("u"), "v"))
+    pairs = materialize(
+        pairs.where(F.col("u") != F.col("v"))
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .distinct(),
+        "pairs",
+    )
+    stored = marked.select("row", "_text")
+    with_texts = pairs.join(
+        stored.select(F.col("row").alias("u"), F.col("_text").alias("text_u")), "u"
+    ).join(stored.select(F.col("row").alias("v"), F.col("_text").alias("text_v")), "v")
+    links = materialize(similar_texts(with_texts, shingle, similarity), "verified")
+    roots = materialize(components(links), "roots")
+    stays = (
+        texts.join(roots, texts["row"] == roots["node"], "left")
+        .groupBy(F.coalesce("root", texts["row"]))
+        .agg(F.min("place").alias("place"))
+        .select(F.col("place.row").alias("row"))
+    )
+    stays = materialize(stays, "stays")
+    return marked.join(stays, "row", "left_semi").select("_in.*")
