@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tokens int, leaks int, _in int, kept string, row int, n_words string, _text string, bucket int"
+CLASH = ("a", 1, 2, 3, "b", 4, "c", "d", 5)
+
+
+def prose(draw: random.Random, words: int, vocabulary: int = 400) -> str:
+    """Invented prose with a full stop after every tenth word and lines of thirty."""
+    out = []
+    for i in range(words):
+        number = draw.randrange(vocabulary)
+        word = "".join("bcdfgklmnprst"[(number // 13**k) % 13] + "aeiou"[(number + k) % 5] for k in range(3))
+        out.append(word + ("." if i % 10 == 9 else ""))
+    return "\n".join(" ".join(out[i : i + 30]) for i in range(0, len(out), 30))
+
+
+def rows_of(texts: list[str | None]) -> list[tuple]:
+    """Documents with nulls in every column, repeated rows and equal ids."""
+    rows = [
+        (i, t, ("en", "fr", None)[i % 3], (None, f"site{i % 12}")[i % 7 > 0], 1, *CLASH)
+        for i, t in enumerate(texts)
+    ]
+    rows += [rows[0], rows[-1], (None, texts[1], None, None, None, *([None] * len(CLASH)))]
+    rows += [(None, None, None, None, None, *([None] * len(CLASH)))]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def awkward_texts() -> list[str | None]:
+    draw = random.Random(5)
+    texts: list[str | None] = [None, "", " \n\t ", "x", "one two", "\n\n", "日本語のテキスト", "a" * 30_000]
+    texts += [prose(draw, draw.randint(20, 160)) for _ in range(40)]
+    base = prose(draw, 120)
+    texts += [base] * 5 + [base.replace(" ", "  ", 3), base.upper(), base + " extra"]
+    edited = base.split(" ")
+    edited[50] = "changed"
+    texts += [" ".join(edited), prose(draw, 30_000)]
+    boiler = "All rights reserved on every site."
+    texts += [prose(draw, 70) + "\n" + boiler for _ in range(24)]
+    texts += [boiler, boiler]
+    return texts
+
+
+@pytest.fixture(scope="session")
+def awkward(spark, awkward_texts):
+    return spark.createDataFrame(rows_of(awkward_texts), SCHEMA).repartition(6)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
