@@ -314,8 +314,9 @@ def keep_one_of_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     max_bits: int = 2,
-    far_bits: int = 16,
+    far_bits: int = 24,
     keys: int = 8,
+    small_group: int = 16,
 ) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
@@ -323,8 +324,10 @@ def keep_one_of_copies(
     shingles, verified on whole texts. Two searches propose pairs: the Gray-order
     index gives fingerprints at most ``max_bits`` apart; and as copies near the
     threshold differ in more bits than an index of blocks can reach, texts
-    that share one of their ``keys`` least shingle hashes are compared to the
-    first such text if their fingerprints are at most ``far_bits`` apart.
+    that share one of their ``keys`` least shingle hashes are compared if their
+    fingerprints are at most ``far_bits`` apart: in groups of ``small_group``
+    texts each with each, in larger ones with the first text and with one drawn
+    by the hash, so that each shared hash gives a large group another centre.
 
     Equal texts count once in the search. Null and empty texts are copies of
     each other. Among rows of one id the first stored stays; null ids come last.
@@ -352,15 +355,25 @@ def keep_one_of_copies(
     near = near.join(of("fu", "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("row").alias("v")), "fv")
     alike = of("fu", "u").join(first.select(F.col("fp").alias("fu"), F.col("row").alias("v")), "fu")
     keyed = texts.select("row", "fp", F.explode("keys").alias("key"))
-    heads = (
+    groups = (
         keyed.groupBy("key")
-        .agg(F.min(F.struct("row", "fp")).alias("head"), F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("row", "fp")).alias("first"),
+            F.min_by(F.struct("row", "fp"), F.xxhash64("row", "key")).alias("other"),
+        )
         .where(F.col("n") > 1)
-        .select("key", F.col("head.row").alias("v"), F.col("head.fp").alias("fv"))
     )
-    sharing = keyed.join(heads, "key").where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("fv"))) <= far_bits
+    shared = materialize(keyed.join(groups, "key"), "shared-keys")
+    heads = shared.select("row", "fp", F.explode(F.array("first", "other")).alias("head")).select(
+        "row", "fp", F.col("head.row").alias("v"), F.col("head.fp").alias("fv")
     )
+    small = shared.where(F.col("n") <= small_group).select("key", "row", "fp")
+    mates = small.join(
+        small.select("key", F.col("row").alias("v"), F.col("fp").alias("fv")), "key"
+    ).where(F.col("row") > F.col("v"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fv"))) <= far_bits
+    sharing = heads.union(mates.select("row", "fp", "v", "fv")).where(close)
     pairs = near.select("u", "v").union(alike.select("u", "v")).union(sharing.select(F.col("row").alias("u"), "v"))
     pairs = materialize(
         pairs.where(F.col("u") != F.col("v"))
