@@ -42,6 +42,12 @@ def words(value: Column | str) -> Column:
     return F.filter(F.split(as_column(value), " "), lambda token: token != F.lit(""))
 
 
+def lower_tokens(value: Column | str) -> Column:
+    """Lower-case tokens between any white space; null for a null text."""
+    parts = F.split(F.lower(as_column(value)), f"[{SPACE}]+")
+    return F.filter(parts, lambda token: token != F.lit(""))
+
+
 def clean_text(value: Column | str, drop_words: Sequence[str] = ()) -> Column:
     """Strip tags and punctuation, drop ``drop_words``, collapse whitespace.
 

@@ -87,29 +87,42 @@ def gather(
     key: str = "row_id",
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Vectors at the labelled positions; a repeated position repeats its vector.
+    """Vectors at the labelled positions; a repeated label repeats its vector.
 
-    A position without a vector stops the query. Labels of measured small size
-    are broadcast, so the vectors, far wider, are not shuffled; the check then
-    reads the key column alone. Otherwise both sides are shuffled and the check
-    rides on the join; should one position hold a large share of the labels,
+    Stops at once if a label has no vector, also one without a position, or if a
+    labelled position has several. That is checked on the key columns before
+    the join, by the same counts for any size. Labels of measured small size
+    are broadcast, so the vectors, far wider, are not shuffled. Otherwise both
+    sides are shuffled; should one position hold a large share of the labels,
     the adaptive skew join splits it, as there is one vector per position.
     """
-    message = "label position outside the vector table"
     labels = materialize(labels, "labels")
+    small = measured_bytes(labels) <= limit_bytes
+    keys = labels.select(key).distinct()
+    found = vectors.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi")
+    seen = found.groupBy(key).count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    if (seen["most"] or 0) > 1:
+        raise ValueError("a position has several vectors")
+    if seen["n"] < keys.count():
+        raise ValueError("label position outside the vector table")
     columns = [*labels.columns, *[name for name in vectors.columns if name != key]]
-    if measured_bytes(labels) <= limit_bytes:
-        keys = labels.select(key).distinct()
-        found = vectors.select(key).join(F.broadcast(keys), key, "left_semi")
-        if found.count() < keys.count():
-            raise ValueError(message)
-        return vectors.join(F.broadcast(labels), key).select(*columns)
-    joined = labels.join(vectors.withColumn("_found", F.lit(True)), key, "left")
-    return joined.where(_required(F.col("_found").isNotNull(), message)).select(*columns)
+    joined = vectors.join(F.broadcast(labels), key) if small else labels.join(vectors, key)
+    return joined.select(*columns)
+
+
+def require_unique(df: DataFrame, key: str, what: str) -> None:
+    """Stop if a key occurs twice; counts combine in the map tasks."""
+    if not df.groupBy(key).count().where(F.col("count") > 1).isEmpty():
+        raise ValueError(f"{what} repeats a value of {key}")
 
 
 def align(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
-    """Pair two whole tables by position; any unmatched side stops the query."""
+    """Pair two whole tables by position; any unmatched side stops the query.
+
+    A position that either side repeats stops it before the join.
+    """
+    require_unique(left, key, "the left table")
+    require_unique(right, key, "the right table")
     a = left.withColumn("_left", F.lit(True))
     b = right.withColumn("_right", F.lit(True))
     both = F.col("_left").isNotNull() & F.col("_right").isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfvec.operators.features import FEATURE_SETS, PROJECTION_COMPONENTS, reduce_dimensions
-from shelfvec.operators.joins import lookup_join
+from shelfvec.operators.joins import gather, lookup_join
 from shelfvec.operators.metrics import METRICS
 from shelfvec.operators.numbering import with_positions
 from shelfvec.sources.scratch import materialize
@@ -90,7 +90,10 @@ def best_rows(
     ties = materialize(tied.drop("_top"), "ties")
     first = ties.groupBy(*by).agg(F.min(position).alias("_first"))
     chosen = lookup_join(ties, first, by, "inner", **join_options)
-    return chosen.where(F.col(position) == F.col("_first")).select(*results.columns)
+    best = materialize(chosen.where(F.col(position) == F.col("_first")).select(*results.columns), "best")
+    if not best.groupBy(*by).count().where(F.col("count") > 1).isEmpty():
+        raise ValueError(f"{position} repeats a value among the best rows of a group")
+    return best
 
 
 def sorted_by_metric(results: DataFrame, metric: str = "f1") -> DataFrame:
@@ -177,5 +180,7 @@ def project_vectors(
     placed = points.select(
         "row_id", *[axes[i].alias(name) for i, name in enumerate("xyz"[:components])]
     )
-    return placed.join(catalog.select("row_id", "category", "title"), "row_id")
+    # Every vector needs its one catalog row, by the rule that holds for labels and vectors.
+    named = catalog.select("row_id", "category", "title")
+    return gather(placed, named).select(*placed.columns, "category", "title")
 

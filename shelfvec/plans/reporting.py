@@ -29,5 +29,6 @@ def baseline_tables(
 
 def leaderboard(results: DataFrame, position: str, models: Sequence[str] = ()) -> DataFrame:
     """Best feature set per model and task, highest F1 first."""
-    best = best_rows(drop_unnamed_index(results), position)
+    # The saved index column may be the position, so it goes last.
+    best = drop_unnamed_index(best_rows(results, position))
     return sorted_by_metric(keep_members(best, "model", models) if models else best)

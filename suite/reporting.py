@@ -168,9 +168,11 @@ def r8(spark, sf):
 
 def _projected(spark, sf, column):
     rows = vectors(spark, sf).select("row_id", column.alias("text"))
-    catalog = table(spark, sf, "documents").select(
+    # A catalog with a row for every vector, without names where there is no document.
+    named = table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("category"), F.col("text").alias("title")
     )
+    catalog = rows.select("row_id").join(named, "row_id", "left")
     return R.project_vectors(rows, catalog)
 
 
@@ -182,7 +184,7 @@ def _projected(spark, sf, column):
        l AS (SELECT row_id, sum(((x - mean) / dev) ** 2) AS length2
              FROM v JOIN s USING (place) GROUP BY row_id)
        SELECT row_id, source AS category, text AS title, round(length2, 5) AS length2
-       FROM l JOIN documents ON doc_id = row_id""",
+       FROM l LEFT JOIN documents ON doc_id = row_id""",
 )
 def r9_three(spark, sf):
     """Three components of a three-wide vector keep its standardised length."""

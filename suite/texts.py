@@ -120,10 +120,10 @@ def normalized_sql(key, text, source):
     return rf"""
       tokens AS (SELECT {key}, unnest({tokens_sql(text)}) AS token,
                         unnest(range(len({tokens_sql(text)}))) AS pos FROM {source}),
-      found AS (SELECT {key}, pos, coalesce(l.lemma, lower(token)) AS lemma
+      found AS (SELECT {key}, pos, lower(token) AS form, coalesce(l.lemma, lower(token)) AS lemma
                 FROM tokens LEFT JOIN lemmas l ON l.form = lower(token)),
       lines AS (SELECT {key}, string_agg(lemma, ' ' ORDER BY pos) AS line FROM found
-                WHERE regexp_matches(lemma, '^\p{{L}}+$') GROUP BY {key})"""
+                WHERE regexp_matches(form, '^\p{{L}}+$') GROUP BY {key})"""
 
 
 @query(

@@ -166,11 +166,25 @@ def test_gather_and_align(spark):
         assert sorted((r.row_id, r.target, r.text[0]) for r in out.collect()) == [(1, 0, 2.0), (1, 1, 2.0)]
         outside = labels.selectExpr("row_id + 1 AS row_id", "target")
         with pytest.raises(Exception, match="outside the vector table"):
-            J.gather(outside, vectors, limit_bytes=limit).select("target").collect()
+            J.gather(outside, vectors, limit_bytes=limit)
+        with pytest.raises(Exception, match="outside the vector table"):
+            J.gather(labels.selectExpr("CAST(NULL AS long) AS row_id", "target"), vectors, limit_bytes=limit)
+        repeated = vectors.union(vectors.where("row_id = 1"))
+        with pytest.raises(ValueError, match="several vectors"):
+            J.gather(labels, repeated, limit_bytes=limit)
+        both = spark.createDataFrame([(1, 0), (2, 1)], "row_id long, target int")
+        with pytest.raises(ValueError, match="several vectors"):
+            J.gather(both, repeated, limit_bytes=limit)
+        nothing = labels.where("false")
+        assert J.gather(nothing, vectors, limit_bytes=limit).count() == 0
     whole = spark.createDataFrame([(0, 5), (1, 6)], "row_id long, target int")
     assert J.align(whole, vectors).count() == 2
     with pytest.raises(Exception, match="differ in their row positions"):
         J.align(whole.where("row_id = 0"), vectors).select("target").collect()
+    with pytest.raises(ValueError, match="repeats"):
+        J.align(whole.union(whole), vectors)
+    with pytest.raises(ValueError, match="repeats"):
+        J.align(vectors, whole.union(whole))
 
 
 def test_small_labels_leave_the_vectors_in_place(spark, plan_of):

@@ -85,6 +85,22 @@ def test_quartiles_equal_numpy(spark, limit):
         assert (r.n, r.minimum, r.maximum) == (len(values), values.min(), values.max())
 
 
+def test_best_rows_refuse_a_repeated_position(spark):
+    rows = [("m", "t", 1, 0.5), ("m", "t", 1, 0.5), ("m", "u", 1, 0.5)]
+    df = spark.createDataFrame(rows, "model string, task string, pos int, f1 double")
+    with pytest.raises(ValueError, match="repeats"):
+        R.best_rows(df, "pos")
+
+
+def test_projection_needs_every_catalog_row(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, float(i * i)]) for i in range(6)], "row_id long, text array<float>")
+    catalog = vectors.selectExpr("row_id", "'c' AS category", "'t' AS title")
+    with pytest.raises(ValueError, match="outside"):
+        R.project_vectors(vectors, catalog.where("row_id < 4"))
+    with pytest.raises(ValueError, match="several"):
+        R.project_vectors(vectors, catalog.union(catalog))
+
+
 def test_projection_is_a_rotation(spark):
     rng = np.random.default_rng(7)
     data = rng.normal(size=(30, 3))

@@ -137,8 +137,25 @@ def test_keyword_forms_equal_lemmatising_everything(spark, lemmas):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
         full = G.normalize_text(df, "t", lemmas, language=lang)
         want = {r.i: bool(set(r.t.split()) & set(keywords)) for r in full.collect()}
-        forms = set(G.keyword_forms(lemmas, keywords, ["other"])[0][lang])
+        found = G.keyword_forms(lemmas, keywords, ["other"]).where(f"number = 0 AND lang = '{lang}'")
+        forms = {r.form for r in found.collect()}
         got = {i: bool({w.lower() for w in t.split()} & forms) for i, t in enumerate(texts)}
         assert got == want
-    with pytest.raises(ValueError, match="forms"):
-        G.keyword_forms(lemmas, keywords, limit=1)
+
+
+@pytest.mark.parametrize("language", ["en", "ru", None])
+def test_both_lemma_plans_agree_on_odd_texts(spark, language):
+    rows = [("en", "cats", "cat"), ("en", "t2", "two"), ("en", "odd", "o dd"), ("en", "gone", None), ("en", None, "x")]
+    rows += [("ru", "коты", "кот"), ("ru", "cats", "c4t"), ("ru", "gone", None), (None, "cats", "nobody")]
+    lemmas = spark.createDataFrame(rows, "lang string, form string, lemma string")
+    texts = ["cats\tdogs\ncats x", "  Cats\u00a0CATS\u2028t2\x1fodd ", "gone Gone", None, "", " \n", "İstanbul cats", "коты cats"]
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "i int, t string")
+    small, large = (
+        sorted((r.i, r.t or "", r.t is None) for r in G.normalize_text(df, "t", lemmas, language, limit_bytes=n).collect())
+        for n in (10**9, -1)
+    )
+    assert small == large
+    if language == "en":
+        assert dict((i, t) for i, t, _ in small)[0] == "cat dogs cat x"
+        assert dict((i, t) for i, t, _ in small)[1] == "cat cat o dd"
+        assert dict((i, t) for i, t, _ in small)[2] == "gone gone"
