@@ -14,6 +14,7 @@ checked. Documents stay where they are: no shuffle.
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -248,7 +249,8 @@ class ItemIndex:
         )
 
 
-_indexes: dict[int, ItemIndex] = {}
+#: The index of the query at work, made once per worker.
+_indexes: dict[str, ItemIndex] = {}
 
 
 def mark_leaks(
@@ -273,7 +275,7 @@ def mark_leaks(
         raise ValueError(f"{size} characters of items; an index holds {MAX_ITEM_CHARS} at most")
     order = [F.col(item_id).asc_nulls_first(), F.col(item_text)]
     rows = [tuple(r) for r in items.select(item_id, item_text).orderBy(*order).collect()]
-    sent = spark.sparkContext.broadcast((rows, rule or Search()))
+    sent, key = spark.sparkContext.broadcast((rows, rule or Search())), uuid.uuid4().hex
     rest = [f for f in docs.schema.fields if f.name not in {"leaks", *([text_col] if drop_text else [])}]
     kept = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField("leaks", T.ArrayType(LEAK, False), False)])
@@ -283,10 +285,10 @@ def mark_leaks(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _indexes:
+        if key not in _indexes:
             _indexes.clear()
-            _indexes[sent.id] = ItemIndex(*sent.value)
-        index = _indexes[sent.id]
+            _indexes[key] = ItemIndex(*sent.value)
+        index = _indexes[key]
         for batch in batches:
             found = [
                 [dict(zip(names, x, strict=True)) for x in index.leaks(t)]
