@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfvec.functions.text import as_column
@@ -24,4 +24,9 @@ def copy_spread(columns: list[str]) -> list[Column]:
     Content alone cannot tell copies apart. The input partition can, and it
     stays the same when a task is run again, whatever order its rows arrive in.
     """
-    return [F.spark_partition_id(), F.xxhash64(*columns)]
+    return [F.spark_partition_id(), F.xxhash64(*columns) if columns else F.lit(0)]
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that have a hash: all but those with a map in them."""
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

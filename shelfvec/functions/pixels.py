@@ -1,22 +1,9 @@
-"""Per-image numpy helpers: channel order and convolution resizing.
-
-Resizing follows the published separable scheme of common imaging libraries:
-an optional whole-number box reduction, then a cubic filter widened by the
-shrink factor, first along rows and then along columns, in 8-bit steps.
-"""
+"""Per-image numpy helpers: channel order, target sizes and area means."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
-# Cubic coefficient, filter radius, fraction bits, reduction gap.
-CUBIC_A = -0.5
-CUBIC_RADIUS = 2.0
-FRACTION_BITS = 22
-REDUCING_GAP = 2.0
-
 
 def rgb_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
     """H x W x 3 RGB from the image source's blue-green-red bytes."""
@@ -28,89 +15,39 @@ def rgb_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return pixels[:, :, 2::-1]
 
 
-def fitted_size(width: int, height: int, limit: tuple[int, int]) -> tuple[int, int]:
-    """Largest size within ``limit`` of the same aspect ratio; never enlarges."""
-    limit_w, limit_h = limit
-    if width <= limit_w and height <= limit_h:
-        return width, height
-    aspect = width / height
-
-    def nearest(exact: float, error) -> int:
-        return max(1, min((math.floor(exact), math.ceil(exact)), key=error))
-
-    if limit_w / limit_h >= aspect:
-        fit = nearest(limit_h * aspect, lambda n: abs(aspect - n / limit_h))
-        return fit, limit_h
-    fit = nearest(limit_w / aspect, lambda n: 0 if n == 0 else abs(aspect - limit_w / n))
-    return limit_w, fit
-
-
-def filter_matrix(size_in: float, length: int, size_out: int) -> np.ndarray:
-    """``size_out x length`` fixed-point weights of the cubic filter.
+def shares(size_in: int, size_out: int) -> np.ndarray:
+    """How much of each input cell lies in each output cell, in whole units.
 
-    ``length`` input samples cover ``size_in`` units, which differ when a box
-    reduction left a partial last sample.
+    Both lines are cut into ``size_in * size_out`` units; a row sums to
+    ``size_in``.
     """
-    scale = size_in / size_out
-    stretch = max(scale, 1.0)
-    radius = CUBIC_RADIUS * stretch
-    centers = (np.arange(size_out) + 0.5) * scale
-    low = np.maximum((centers - radius + 0.5).astype(int), 0)[:, None]
-    high = np.minimum((centers + radius + 0.5).astype(int), length)[:, None]
-    places = np.arange(length)[None, :]
-    x = np.abs((places - centers[:, None] + 0.5) / stretch)
-    near = ((CUBIC_A + 2) * x - (CUBIC_A + 3)) * x * x + 1
-    far = (((x - 5) * x + 8) * x - 4) * CUBIC_A
-    weights = np.where(x < 1, near, np.where(x < 2, far, 0.0))
-    weights = np.where((places >= low) & (places < high), weights, 0.0)
-    weights /= weights.sum(axis=1, keepdims=True)
-    scaled = weights * (1 << FRACTION_BITS)
-    return np.trunc(scaled + np.where(scaled < 0, -0.5, 0.5)).astype(np.int64)
+    a = np.arange(size_out)[:, None] * size_in
+    b = np.arange(size_in)[None, :] * size_out
+    overlap = np.minimum(a + size_in, b + size_out) - np.maximum(a, b)
+    return np.maximum(overlap, 0)
 
 
-def _convolve(weights: np.ndarray, pixels: np.ndarray) -> np.ndarray:
-    """Apply ``weights`` along the first axis and round back to 8 bits."""
-    rows = pixels.reshape(pixels.shape[0], -1).astype(np.float64)
-    # Products stay below 2**53, so the float product is exact.
-    total = np.rint(weights.astype(np.float64) @ rows).astype(np.int64)
-    rounded = (total + (1 << (FRACTION_BITS - 1))) >> FRACTION_BITS
-    return np.clip(rounded, 0, 255).astype(np.uint8).reshape(-1, *pixels.shape[1:])
-
-
-def box_reduce(pixels: np.ndarray, factor_x: int, factor_y: int) -> np.ndarray:
-    """Rounded mean of whole boxes; partial boxes at the edges use what is there."""
-    height, width = pixels.shape[:2]
-    rows = np.arange(0, height, factor_y)
-    columns = np.arange(0, width, factor_x)
-    sums = np.add.reduceat(pixels.astype(np.int64), rows, axis=0)
-    sums = np.add.reduceat(sums, columns, axis=1)
-    tall = np.minimum(rows + factor_y, height) - rows
-    wide = np.minimum(columns + factor_x, width) - columns
-    area = (tall[:, None] * wide[None, :])[:, :, None]
-    return ((sums + area // 2) // area).astype(np.uint8)
-
-
-def resample(pixels: np.ndarray, size: tuple[int, int], gap: float | None = None) -> np.ndarray:
-    """Resize to ``size`` (width, height); ``gap`` allows a box reduction first."""
+def area_mean(pixels: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Resize to ``size`` (width, height): each new pixel is the mean of the area it covers."""
     height, width = pixels.shape[:2]
-    out_w, out_h = size
     if (width, height) == size:
         return pixels
-    span_w, span_h = float(width), float(height)
-    if gap is not None:
-        factor_x = int(width / out_w / gap) or 1
-        factor_y = int(height / out_h / gap) or 1
-        if factor_x > 1 or factor_y > 1:
-            pixels = box_reduce(pixels, factor_x, factor_y)
-            span_w, span_h = width / factor_x, height / factor_y
-    if pixels.shape[1] != out_w or span_w != out_w:
-        along_x = filter_matrix(span_w, pixels.shape[1], out_w)
-        pixels = _convolve(along_x, pixels.transpose(1, 0, 2)).transpose(1, 0, 2)
-    if pixels.shape[0] != out_h or span_h != out_h:
-        pixels = _convolve(filter_matrix(span_h, pixels.shape[0], out_h), pixels)
-    return pixels
+    wide, tall = shares(width, size[0]).astype("f8"), shares(height, size[1]).astype("f8")
+    # Whole numbers far below 2 ** 53: the float products are exact.
+    sums = np.einsum("oy,yxc,px->opc", tall, pixels.astype("f8"), wide, optimize=True)
+    area = height * width
+    return np.floor((2 * sums + area) / (2 * area)).astype(np.uint8)
+
+
+def fitted_size(width: int, height: int, limit: tuple[int, int]) -> tuple[int, int]:
+    """Size within ``limit`` of the same aspect ratio, halves rounded up; never enlarges."""
+    wide, tall = limit
+    if width <= wide and height <= tall:
+        return width, height
+    if width * tall >= height * wide:
+        return wide, max(1, (2 * height * wide + width) // (2 * width))
+    return max(1, (2 * width * tall + height) // (2 * height)), tall
 
 
 def shrink_to_fit(pixels: np.ndarray, limit: tuple[int, int]) -> np.ndarray:
-    size = fitted_size(pixels.shape[1], pixels.shape[0], limit)
-    return resample(pixels, size, REDUCING_GAP)
+    return area_mean(pixels, fitted_size(pixels.shape[1], pixels.shape[0], limit))

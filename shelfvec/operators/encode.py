@@ -67,28 +67,53 @@ def encode(
     to Python, in transfers that ``spark.sql.execution.arrow.maxBytesPerBatch``
     keeps small even when rows carry pictures.
     """
+    sides = {"text": (text, "text"), "img": (image, "image")}
+    return _encoded(df, factory, sides, key, batch_size, element)
+
+
+def encode_one(
+    df: DataFrame,
+    factory: Callable[[], Encoder],
+    side: str,
+    column: str,
+    key: str = "row_id",
+    batch_size: int = 10,
+    element: str = "float",
+) -> DataFrame:
+    """``key, text`` or ``key, img``: one side of ``encode``, where that side's rows lie."""
+    method = {"text": "text", "img": "image"}[side]
+    return _encoded(df, factory, {side: (column, method)}, key, batch_size, element)
+
+
+def _encoded(
+    df: DataFrame,
+    factory: Callable[[], Encoder],
+    sides: dict[str, tuple[str, str]],
+    key: str,
+    batch_size: int,
+    element: str,
+) -> DataFrame:
     ensure_shipped(df.sparkSession)
     token = uuid.uuid4().hex
     kind = pa.float64() if element == "double" else pa.float32()
+    methods = [method for _, method in sides.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(token, factory)
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                texts = np.asarray(encoder.text(_values(part.column(1))))
-                images = np.asarray(encoder.image(_values(part.column(2))))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _list_array(texts, kind), _list_array(images, kind)],
-                    names=["row_id", "text", "img"],
-                )
+                coded = [
+                    _list_array(np.asarray(getattr(encoder, method)(_values(part.column(i)))), kind)
+                    for i, method in enumerate(methods, start=1)
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *coded], names=["row_id", *sides])
 
     inputs = df.select(
         F.col(key).cast("long").alias("row_id"),
-        F.col(text).alias("text"),
-        F.col(image).alias("img"),
+        *[F.col(column).alias(side) for side, (column, _) in sides.items()],
     )
-    schema = f"row_id long, text array<{element}>, img array<{element}>"
+    schema = ", ".join(["row_id long", *[f"{side} array<{element}>" for side in sides]])
     return inputs.mapInArrow(run, schema)
 
 

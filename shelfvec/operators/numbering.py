@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfvec.functions.ordering import copy_spread, shuffle_key
+from shelfvec.functions.ordering import copy_spread, hashable, shuffle_key
 from shelfvec.functions.text import as_column
 from shelfvec.sources.scratch import materialize
 
@@ -16,10 +16,13 @@ _PARTITION_BITS = 33
 
 
 def with_positions(
-    df: DataFrame, order_by: Sequence[Column | str], name: str = "row_id"
+    df: DataFrame, order_by: Sequence[Column | str], name: str = "row_id", unique: bool = False
 ) -> DataFrame:
     """Number rows 0..n-1 in the given order without a one-task window.
 
+    ``unique`` says that no two rows are equal in ``order_by``; then no other
+    column is read to tell rows apart.
+
     Rows are range-partitioned and sorted once, then written with their
     partition and place in it, because a second run could sample other range
     bounds. A position is the place plus the sizes of the earlier partitions.
@@ -27,7 +30,7 @@ def with_positions(
     are bounded by the partition count, not by the data.
     """
     keys = [as_column(key) for key in order_by]
-    ties = dict(zip(("_tie_part", "_tie_hash"), copy_spread(df.columns)))
+    ties = {} if unique else dict(zip(("_tie_part", "_tie_hash"), copy_spread(hashable(df))))
     tied = df.withColumns(ties)
     ranged = tied.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
     stamped = materialize(

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfvec.functions.pixels import resample, rgb_array, shrink_to_fit
+from shelfvec.functions.pixels import area_mean, rgb_array, shrink_to_fit
+from shelfvec.operators.joins import require_unique
 from shelfvec.sources.shipping import ensure_shipped
 
 # Fixed value: default target size (width, height).
@@ -32,19 +33,18 @@ def resize_images(
 
     def resize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                pixels = rgb_array(row["height"], row["width"], row["nChannels"], row["data"])
-                if pixels is None:
-                    continue
-                small = resample(pixels, size) if exact else shrink_to_fit(pixels, size)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "nm": pa.array([row["nm"]], pa.int64()),
-                        "width": pa.array([small.shape[1]], pa.int32()),
-                        "height": pa.array([small.shape[0]], pa.int32()),
-                        "data": pa.array([np.ascontiguousarray(small).tobytes()], pa.binary()),
-                    }
-                )
+            rows = []
+            for nm, *source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pixels = rgb_array(*source)
+                if pixels is not None:
+                    small = area_mean(pixels, size) if exact else shrink_to_fit(pixels, size)
+                    rows.append((nm, small.shape[1], small.shape[0], np.ascontiguousarray(small).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["nm", "width", "height", "data"],
+            )
 
     flat = images.select("nm", "image.height", "image.width", "image.nChannels", "image.data")
     return flat.mapInArrow(resize, RESIZED)
@@ -55,9 +55,10 @@ def complete_images(
 ) -> DataFrame:
     """One picture per manifest row: a black one, flagged ``missing``, where none was read.
 
-    Decoded pixels outgrow any estimate made from file sizes, so the pictures
-    are never broadcast.
+    Stops if two pictures have one number. Decoded pixels outgrow any estimate
+    made from file sizes, so the pictures are never broadcast.
     """
+    require_unique(resized, "nm", "the table of pictures")
     width, height = size
     black = F.unhex(F.repeat(F.lit("00"), 3 * width * height))
     missing = F.col("data").isNull()

@@ -52,3 +52,10 @@ def materialize(
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored; call it at the end of a run."""
+    path = f"{scratch_root(spark)}/shelfvec/{spark.sparkContext.applicationId}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

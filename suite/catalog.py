@@ -46,9 +46,9 @@ def s3(spark, sf):
 
 @query(
     "s5_s6_vector_store",
-    """SELECT vec_id AS row_id, 'base' AS model, 32 AS text_size, 32 AS img_size,
-              embedding[1] AS first_text, embedding[33] AS first_img
-       FROM embeddings""",
+    """SELECT vec_id AS row_id, 'base' AS model, i AS place, embedding[i + 1] AS text,
+              embedding[i + 33] AS img
+       FROM embeddings, unnest(range(32)) r(i)""",
 )
 def s5(spark, sf):
     path = fresh_path(spark, "store")
@@ -56,13 +56,9 @@ def s5(spark, sf):
     swapped = base.select("row_id", F.col("img").alias("text"), F.col("text").alias("img"))
     write_vectors(base.withColumn("model", F.lit("base")), path)
     write_vectors(swapped.withColumn("model", F.lit("swapped")), path)
-    return read_vectors(spark, path, ["base"]).select(
-        "row_id",
-        "model",
-        F.size("text").alias("text_size"),
-        F.size("img").alias("img_size"),
-        F.col("text")[0].alias("first_text"),
-        F.col("img")[0].alias("first_img"),
+    pairs = F.posexplode(F.arrays_zip("text", "img")).alias("place", "pair")
+    return read_vectors(spark, path, ["base"]).select("row_id", "model", pairs).select(
+        "row_id", "model", F.col("place").cast("long").alias("place"), "pair.text", "pair.img"
     )
 
 

@@ -12,6 +12,7 @@ from shelfvec.operators.similarity import (
     contrastive_loss,
     l2_normalize,
 )
+from shelfvec.plans.embedding import embed_rows
 from shelfvec.sources.shipping import ensure_shipped
 from suite import query, table
 from suite.onnx_model import matmul_model
@@ -35,30 +36,27 @@ def plain_encoder():
 @query(
     "e1_encode",
     f"""WITH {PIXELS_SQL},
-        sums AS (SELECT nm, sum(v) FILTER (y = 0) AS first_row, sum(v) FILTER (y = 7) AS last_row
-                 FROM pixels GROUP BY nm)
+        sums AS (SELECT nm, y, sum(v) AS s FROM pixels GROUP BY nm, y)
         SELECT doc_id AS row_id, length(text)::DOUBLE AS n_chars,
                (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e,
                (length(text) - length(replace(text, ' ', '')))::DOUBLE AS n_spaces,
-               first_row::DOUBLE AS first_row, last_row::DOUBLE AS last_row
-        FROM documents JOIN sums ON doc_id = nm""",
+               {", ".join(f"coalesce(max(s) FILTER (y = {y}), 0)::DOUBLE AS row_{y}" for y in range(8))}
+        FROM documents LEFT JOIN sums ON doc_id = nm GROUP BY doc_id, text""",
 )
 def e1(spark, sf):
+    """All documents; those without a picture get the black one."""
     ensure_shipped(spark, "suite")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("nm"), "text")
-    resized = resize_images(pictures(spark, sf))
-    rows = docs.join(resized, "nm").select(
-        "nm", "text", F.struct("height", "width", "data").alias("picture")
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("doc_id").alias("nm"), "text"
     )
-    coded = encode(rows, plain_encoder, text="text", key="nm", batch_size=32, element="double")
+    coded = embed_rows(docs, pictures(spark, sf), plain_encoder, 32, (8, 8), "text", "double")
     text, img = F.col("text"), F.col("img")
     return coded.select(
         "row_id",
         text[0].alias("n_chars"),
         text[1].alias("n_e"),
         text[2].alias("n_spaces"),
-        img[0].alias("first_row"),
-        img[7].alias("last_row"),
+        *[img[y].alias(f"row_{y}") for y in range(8)],
     )
 
 
@@ -70,9 +68,9 @@ def _projection_sql(first, component):
 
 @query(
     "e2_onnx_scores",
-    f"""SELECT vec_id AS row_id, {_projection_sql(1, 0)} AS text_0, {_projection_sql(1, 7)} AS text_7,
-               {_projection_sql(33, 0)} AS img_0, {_projection_sql(33, 7)} AS img_7
-        FROM embeddings""",
+    "SELECT vec_id AS row_id, "
+    + ", ".join(f"{_projection_sql(1, i)} AS text_{i}, {_projection_sql(33, i)} AS img_{i}" for i in range(8))
+    + " FROM embeddings",
 )
 def e2(spark, sf):
     model = matmul_model(32, 8)
@@ -89,7 +87,7 @@ def e2(spark, sf):
         *[
             (F.round(F.col(side)[i], 6) + 0.0).alias(f"{side}_{i}")
             for side in ("text", "img")
-            for i in (0, 7)
+            for i in range(8)
         ],
     )
 
@@ -187,36 +185,23 @@ def e6(spark, sf):
     )
 
 
-def _weights_sql(name, size_out, size_in=8):
-    """Fixed-point cubic weights, stated from the published formula."""
-    scale = f"({size_in}.0::DOUBLE / {size_out})"
+def _shares_sql(name, size_out, size_in=8):
+    """Units of each input cell in each output cell."""
     return f"""
-      {name}_raw AS (
-        SELECT o, i, abs((i - (o + 0.5) * {scale} + 0.5) / {scale}) AS d
-        FROM unnest(range({size_out})) a(o), unnest(range({size_in})) b(i)
-        WHERE i >= floor(greatest((o + 0.5) * {scale} - 2 * {scale} + 0.5, 0))
-          AND i < least(floor((o + 0.5) * {scale} + 2 * {scale} + 0.5), {size_in})),
-      {name}_cubic AS (
-        SELECT o, i, CASE WHEN d < 1 THEN (1.5 * d - 2.5) * d * d + 1
-                          WHEN d < 2 THEN (((d - 5) * d + 8) * d - 4) * -0.5 ELSE 0 END AS w
-        FROM {name}_raw),
       {name} AS (
-        SELECT o, i, trunc(w / sum(w) OVER (PARTITION BY o) * 4194304
-                           + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS w
-        FROM {name}_cubic)"""
+        SELECT o, i, greatest(0, least((o + 1) * {size_in}, (i + 1) * {size_out})
+                                 - greatest(o * {size_in}, i * {size_out})) AS w
+        FROM unnest(range({size_out})) a(o), unnest(range({size_in})) b(i))"""
 
 
 def _resized_sql(width, height):
+    """Area means of 8 x 8 pictures, halves rounded up."""
     return f"""
-      {PIXELS_SQL}, {_weights_sql("wx", width)}, {_weights_sql("wy", height)},
-      across AS (SELECT nm, y, o AS x, greatest(0, least(255,
-                        (sum(v * w)::BIGINT + 2097152) >> 22)) AS v
-                 FROM pixels JOIN wx ON x = i GROUP BY nm, y, o),
-      down AS (SELECT nm, o AS y, x, greatest(0, least(255,
-                      (sum(v * w)::BIGINT + 2097152) >> 22)) AS v
-               FROM across JOIN wy ON y = i GROUP BY nm, o, x),
+      {PIXELS_SQL}, {_shares_sql("wx", width)}, {_shares_sql("wy", height)},
+      means AS (SELECT nm, wy.o AS y, wx.o AS x, (sum(v * wx.w * wy.w)::BIGINT + 32) // 64 AS v
+                FROM pixels JOIN wx ON x = wx.i JOIN wy ON y = wy.i GROUP BY nm, wy.o, wx.o),
       resized AS (SELECT nm, string_agg(printf('%02X%02X%02X', v, v, v), '' ORDER BY y, x) AS rgb
-                  FROM down GROUP BY nm)"""
+                  FROM means GROUP BY nm)"""
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from shelfvec.operators import labels as L
 from shelfvec.operators import metrics as M
 from shelfvec.operators.features import COMBINED, reduce_dimensions, standardize, vector_columns
 from shelfvec.operators.classify import Settings, logistic_regression
@@ -12,9 +13,7 @@ from shelfvec.operators.folds import class_weights, stratified_folds, with_class
 from shelfvec.plans.evaluation import evaluate, evaluation, run_suite
 from suite import query, table
 from suite.catalog import SHUFFLE_KEY_SQL
-from suite.views import vectors
-
-MLP_ITERATIONS = 30
+from suite.views import LEMMA_ROWS, clothes, vectors
 
 
 @query(
@@ -99,6 +98,11 @@ def _binary(spark, sf):
     return vectors(spark, sf).select("row_id", (F.col("target") == 0).cast("int").alias("target"))
 
 
+def _even(spark, sf):
+    """Labels: classes of even number against the others."""
+    return vectors(spark, sf).select("row_id", (F.col("target") % 2 == 0).cast("int").alias("target"))
+
+
 def _classes(spark, sf):
     return vectors(spark, sf).select("row_id", "target")
 
@@ -177,7 +181,7 @@ def m6(spark, sf):
 
 @query("m7_multiclass_mlp")
 def m7(spark, sf):
-    config = evaluation("mlp", multiclass=True, max_iter=MLP_ITERATIONS)
+    config = evaluation("mlp", multiclass=True)
     tasks = {"label": _classes(spark, sf)}
     store = _store(spark, sf, "base")
     return _rounded(evaluate(store, ["base"], tasks, config, one_score=False))
@@ -186,19 +190,39 @@ def m7(spark, sf):
 @query("m12_grid")
 def m12(spark, sf):
     store = _store(spark, sf, "base", "swapped")
-    tasks = {"first_class": _binary(spark, sf)}
-    return _rounded(evaluate(store, ["base", "swapped"], tasks, evaluation(max_iter=50)))
+    tasks = {"first_class": _binary(spark, sf), "even_class": _even(spark, sf)}
+    return _rounded(evaluate(store, ["base", "swapped"], tasks, evaluation()))
 
 
 @query("m13_task_suite")
 def m13(spark, sf):
-    results = run_suite(
-        _store(spark, sf, "base"),
-        ["base"],
-        {"first_class": _binary(spark, sf)},
-        {"label": _classes(spark, sf)},
-        max_iter=20,
+    """Documents as products: their labels, folds, fits and scores, three flags and two classes.
+
+    Iterations are limited, as the suite holds some two hundred fits.
+    """
+    docs = table(spark, sf, "documents")
+    catalog = docs.select(
+        F.col("doc_id").alias("row_id"),
+        F.col("source").alias("category"),
+        F.concat("source", F.lit("/"), "lang").alias("sub_category"),
+        (F.col("n_chars") > 3000).alias("isadult"),
     )
+    worn = clothes(spark, sf)
+    dictionary = spark.createDataFrame(LEMMA_ROWS, "lang string, form string, lemma string")
+    flags = {
+        "IsAdult": L.is_adult(catalog),
+        "MaleFemale": L.male_female(worn, dictionary),
+        "IsChild": L.adult_child(worn, dictionary),
+    }
+    names = {
+        "Category": catalog.select("row_id", F.col("category").alias("target")),
+        "SubCategory": L.roll_up_rare(catalog).select("row_id", F.col("sub_category").alias("target")),
+    }
+    classes = {task: L.encode_classes(df).select("row_id", "target") for task, df in names.items()}
+    given = _store(spark, sf, "base").withColumnRenamed("row_id", "vec_id")
+    place = F.col("row_id") % F.lit(given.count())
+    store = catalog.select("row_id", place.alias("vec_id")).join(given, "vec_id").drop("vec_id")
+    results = run_suite(store, ["base"], flags, classes, max_iter=20)
     parts = [df.withColumn("evaluator", F.lit(name)) for name, df in results.items()]
     whole = parts[0]
     for part in parts[1:]:
@@ -252,9 +276,9 @@ def m10(spark, sf):
     return _rounded(M.mean_over_folds(scores.withColumn("task", F.lit("quality")), ["task"]))
 
 
-# Largest of the first twelve components as the prediction: two classes never occur as truth.
+# Largest component as the prediction: most classes never occur as truth.
 GUESS_SQL = """
-guess AS (SELECT label AS target, list_position(embedding[1:12], list_max(embedding[1:12])) - 1 AS prediction
+guess AS (SELECT label AS target, list_position(embedding, list_max(embedding)) - 1 AS prediction
           FROM embeddings),
 classes AS (SELECT target AS label FROM guess UNION SELECT prediction FROM guess),
 stats AS (SELECT label,
@@ -282,7 +306,7 @@ scored AS (SELECT *, 2 * hit / (predicted + actual) AS f1,
                round(sum(hit) / sum(actual), 6) FROM scored""",
 )
 def m9(spark, sf):
-    head = F.slice("embedding", 1, 12)
+    head = F.col("embedding")
     guess = table(spark, sf, "embeddings").select(
         F.col("label").alias("target"),
         (F.array_position(head, F.array_max(head)) - 1).cast("int").alias("prediction"),
@@ -313,33 +337,35 @@ def m11(spark, sf):
     )
 
 
+PART_TYPES = ("STANDARD", "MEDIUM", "PROMO", "LARGE", "SMALL", "ECONOMY")
+WIDE_SQL = ", ".join(
+    f"max({metric}) FILTER (task = '{kind}') AS {kind.lower()}_{metric}"
+    for kind in PART_TYPES
+    for metric in M.METRICS
+)
+
+
 @query(
     "m14_wide_results",
-    """WITH r AS (SELECT p_brand AS model, p_type AS task, avg(p_size) AS f1,
-                         avg(p_retailprice) AS precision, count(*)::DOUBLE AS recall
-                  FROM part GROUP BY ALL)
-       SELECT model, 'size' AS task,
-              round(max(f1) FILTER (task = 'SMALL'), 6) AS small_f1,
-              round(max(precision) FILTER (task = 'LARGE'), 6) AS large_precision,
-              max(recall) FILTER (task = 'PROMO') AS promo_recall
-       FROM r GROUP BY model""",
+    f"""WITH r AS (SELECT p_brand AS model, p_type AS task, round(avg(p_size), 6) AS f1,
+                          round(avg(p_retailprice), 6) AS precision, count(*)::DOUBLE AS recall
+                   FROM part GROUP BY ALL)
+        SELECT model, 'size' AS task, {WIDE_SQL} FROM r GROUP BY model""",
 )
 def m14(spark, sf):
     results = (
         table(spark, sf, "part")
         .groupBy(F.col("p_brand").alias("model"), F.col("p_type").alias("data_type"))
         .agg(
-            F.avg("p_size").alias("f1"),
-            F.avg("p_retailprice").alias("precision"),
+            F.round(F.avg("p_size"), 6).alias("f1"),
+            F.round(F.avg("p_retailprice"), 6).alias("precision"),
             F.count(F.lit(1)).cast("double").alias("recall"),
         )
         .withColumn("task", F.lit("size"))
     )
-    wide = M.wide_results(results, ["SMALL", "LARGE", "PROMO"])
+    wide = M.wide_results(results, list(PART_TYPES))
     return wide.select(
         "model",
         "task",
-        F.round("SMALL.f1", 6).alias("small_f1"),
-        F.round("LARGE.precision", 6).alias("large_precision"),
-        F.col("PROMO.recall").alias("promo_recall"),
+        *[F.col(f"{kind}.{m}").alias(f"{kind.lower()}_{m}") for kind in PART_TYPES for m in M.METRICS],
     )

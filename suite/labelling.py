@@ -135,21 +135,23 @@ def l7(spark, sf):
 
 @query(
     "j1_gather",
-    """SELECT doc_id AS row_id, toxic AS target, embedding[1] AS first_text,
-              embedding[64] AS last_img
-       FROM labels JOIN embeddings ON doc_id = vec_id""",
+    """SELECT doc_id AS row_id, toxic AS target, i AS place, embedding[i + 1] AS text,
+              embedding[i + 33] AS img
+       FROM labels JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id,
+            unnest(range(32)) r(i)""",
 )
 def j1(spark, sf):
-    store = vectors(spark, sf).drop("target")
+    """All labels; every document has one of the given vectors, in turn."""
+    given = vectors(spark, sf).drop("target").withColumnRenamed("row_id", "vec_id")
+    place = F.col("doc_id") % F.lit(given.count())
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), place.alias("vec_id"))
+    store = docs.join(given, "vec_id").drop("vec_id")
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").alias("row_id"), F.col("toxic").alias("target")
     )
-    known = labels.join(store.select("row_id"), "row_id", "left_semi")
-    return gather(known, store).select(
-        "row_id",
-        "target",
-        F.col("text")[0].alias("first_text"),
-        F.element_at("img", -1).alias("last_img"),
+    pairs = F.posexplode(F.arrays_zip("text", "img")).alias("place", "pair")
+    return gather(labels, store).select("row_id", "target", pairs).select(
+        "row_id", "target", F.col("place").cast("long").alias("place"), "pair.text", "pair.img"
     )
 
 

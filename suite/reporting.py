@@ -63,6 +63,9 @@ def r2(spark, sf):
         SELECT 'f1' AS metric, model, round_even(max(f1) FILTER (data_type = 'F') * 1000, 0) / 1000 + 0.0 AS F_,
                round_even(max(f1) FILTER (data_type = 'O') * 1000, 0) / 1000 + 0.0 AS O_ FROM relative GROUP BY model
         UNION ALL
+        SELECT 'precision', model, round_even(max(precision) FILTER (data_type = 'F') * 1000, 0) / 1000 + 0.0,
+               round_even(max(precision) FILTER (data_type = 'O') * 1000, 0) / 1000 + 0.0 FROM relative GROUP BY model
+        UNION ALL
         SELECT 'recall', model, round_even(max(recall) FILTER (data_type = 'F') * 1000, 0) / 1000 + 0.0,
                round_even(max(recall) FILTER (data_type = 'O') * 1000, 0) / 1000 + 0.0 FROM relative GROUP BY model""",
 )
@@ -75,9 +78,9 @@ def r3(spark, sf):
             (F.col("F") + 0.0).alias("F_"),
             (F.col("O") + 0.0).alias("O_"),
         )
-        for name in ("f1", "recall")
+        for name in ("f1", "precision", "recall")
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +118,31 @@ def test_scratch_needs_a_shared_folder_on_clusters(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_root(Session())
+
+
+def test_map_columns_and_unique_keys(spark, plan_of):
+    df = spark.range(50).selectExpr("49 - id AS k", "map('a', id) AS m").repartition(4)
+    for unique in (False, True):
+        got = N.with_positions(df, ["k"], unique=unique)
+        assert sorted((r.row_id, r.k, r.m["a"]) for r in got.collect()) == [(i, i, 49 - i) for i in range(50)]
+
+
+def test_scratch_on_a_session_without_the_setting(tmp_path):
+    """In a process of its own, as the setting is the session's."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "from shelfvec.sources.scratch import drop_scratch, materialize, scratch_root\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) in (None, ''), 'set by default here'\n"
+        "assert materialize(spark.range(3)).count() == 3\n"
+        "assert scratch_root(spark) == scratch_root(spark)\n"
+        "import os; folder = f'{scratch_root(spark)}/shelfvec/{spark.sparkContext.applicationId}'\n"
+        "assert os.listdir(folder); drop_scratch(spark); assert not os.path.exists(folder)\n"
+    )
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    root = str(Path(__file__).resolve().parents[1])
+    env = {**os.environ, "SPARK_CONF_DIR": str(conf)}
+    done = subprocess.run([sys.executable, "-c", code, root], env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -99,11 +99,14 @@ def test_finite_vectors(spark):
 
 
 def test_csv_keeps_free_text(spark, tmp_path):
-    rows = [(1, 'a "quoted", text\nwith lines'), (2, "tab\tand \\ back"), (3, "plain")]
+    rows = [(1, 'a "quoted", text\nwith lines'), (2, "tab\tand \\ back"), (3, "plain"), (4, "\\n \\\\r\r\n\\")]
     df = spark.createDataFrame(rows, "nm long, title string")
     write_csv(df, str(tmp_path / "t"))
     back = read_csv(spark, str(tmp_path / "t"), df.schema)
     assert sorted(tuple(r) for r in back.collect()) == rows
+    write_csv(df, str(tmp_path / "m"), multi_line=True)
+    other = read_csv(spark, str(tmp_path / "m"), df.schema, multi_line=True)
+    assert sorted(r.nm for r in other.collect()) == [1, 2, 3, 4]
     labels = spark.range(5).selectExpr("id AS row_id", "CAST(id % 2 AS int) AS target")
     write_csv(labels, str(tmp_path / "l"))
     again = read_csv(spark, str(tmp_path / "l"), labels.schema, multi_line=False)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from shelfvec.operators import resize as Z
 from shelfvec.operators import similarity as S
 from shelfvec.operators.joins import gather
 from shelfvec.plans.embedding import embed_catalog, store_embeddings
-from shelfvec.sources.images import read_images
+from shelfvec.sources.images import read_images, read_listed_images
 from shelfvec.sources.vectors import read_bucketed, read_vectors, write_bucketed
 from suite.onnx_model import matmul_model, weight
 
@@ -124,23 +125,34 @@ def test_fitted_sizes():
 
 def test_flat_pictures_stay_flat():
     flat = np.full((37, 53, 3), 200, dtype=np.uint8)
-    for out in (X.shrink_to_fit(flat, (10, 10)), X.resample(flat, (91, 17))):
+    for out in (X.shrink_to_fit(flat, (10, 10)), X.area_mean(flat, (91, 17))):
         assert (out == 200).all()
 
 
-def test_resampling_weights():
-    weights = X.filter_matrix(8.0, 8, 4) / (1 << X.FRACTION_BITS)
-    np.testing.assert_allclose(weights.sum(axis=1), 1, atol=1e-6)
-    # A cubic of twice the width reproduces straight lines away from the edges.
-    line = np.arange(32.0)
-    inner = (X.filter_matrix(32.0, 32, 16) / (1 << X.FRACTION_BITS) @ line)[3:-3]
-    np.testing.assert_allclose(inner, np.arange(16)[3:-3] * 2 + 0.5, atol=1e-4)
+def test_area_means():
+    pixels = np.arange(15, dtype=np.uint8).reshape(3, 5, 1)
+    # One and a half rows and two and a half columns each, halves up.
+    rows = np.array([[2, 1, 0], [0, 1, 2]]) / 3
+    columns = np.array([[2, 2, 1, 0, 0], [0, 0, 1, 2, 2]]) / 5
+    want = np.floor(rows @ pixels[:, :, 0] @ columns.T + 0.5)
+    assert X.area_mean(pixels, (2, 2))[:, :, 0].tolist() == want.tolist()
+    assert X.area_mean(pixels, (5, 3)) is pixels
+    assert X.area_mean(pixels[:1, :2], (4, 1))[0, :, 0].tolist() == [0, 0, 1, 1]
 
 
-def test_box_reduce_with_partial_boxes():
-    pixels = np.arange(15, dtype=np.uint8).reshape(3, 5, 1)
-    # Means of 2 x 2 boxes, half up, with narrower boxes at the right and bottom.
-    assert X.box_reduce(pixels, 2, 2)[:, :, 0].tolist() == [[3, 5, 7], [11, 13, 14]]
+def test_pictures_do_not_cross_an_exchange(spark, image_dir, plan_of):
+    catalog = spark.createDataFrame([(0, 1, "one")], "row_id long, nm long, title string")
+    plan = plan_of(embed_catalog(catalog, read_images(spark, image_dir), length_encoder, "m", size=(16, 16)))
+    assert "picture" not in plan and "data#" not in plan
+
+
+def test_two_pictures_of_one_number_are_refused(spark, image_dir):
+    images = read_images(spark, image_dir)
+    manifest = spark.createDataFrame([(0, 1, "one")], "row_id long, nm long, title string")
+    with pytest.raises(ValueError, match="repeats"):
+        Z.complete_images(manifest, Z.resize_images(images.union(images)))
+    with pytest.raises(ValueError, match="repeats"):
+        embed_catalog(manifest, images.union(images), length_encoder, "m", size=(16, 16))
 
 
 def test_channel_order():
@@ -181,6 +193,18 @@ def test_read_and_resize_files(spark, image_dir):
     assert exact == {1: (16, 16), 2: (16, 16), 3: (16, 16)}
 
 
+def test_stray_and_unlisted_files(spark, image_dir, tmp_path):
+    for name in ("1.png", "3.png"):
+        (tmp_path / name).write_bytes((Path(image_dir) / name).read_bytes())
+    (tmp_path / "Thumbs.db").write_bytes(b"x")
+    assert sorted(r.nm for r in read_images(spark, str(tmp_path)).collect()) == [1, 3]
+    paths = [f"{tmp_path}/1.png", f"file://{tmp_path}/1.png", f"{tmp_path}/9.png", f"{image_dir}/4.jpg", None]
+    listed = spark.createDataFrame([(p,) for p in paths], "image_path string")
+    got = sorted((r.nm, r.image.width) for r in read_listed_images(listed).collect())
+    assert got == [(1, 80), (4, -1)]
+    assert read_listed_images(listed.where("false")).count() == 0
+
+
 def test_pictures_are_never_broadcast(spark, image_dir, plan_of):
     manifest = spark.createDataFrame([(1,)], "nm long")
     plan = plan_of(Z.complete_images(manifest, Z.resize_images(read_images(spark, image_dir))))
