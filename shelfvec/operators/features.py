@@ -48,21 +48,30 @@ def fit_standardizer(df: DataFrame, column: str, output: str) -> PipelineModel:
     return PipelineModel([model, rescale])
 
 
-def standardize(df: DataFrame, column: str, output: str) -> DataFrame:
-    return fit_standardizer(df, column, output).transform(df).drop(f"{output}_sample")
+def standardize(
+    df: DataFrame, column: str, output: str, fit: DataFrame | None = None
+) -> DataFrame:
+    """Standardised by the values of ``fit``, of the table itself by default."""
+    scaler = fit_standardizer(df if fit is None else fit, column, output)
+    return scaler.transform(df).drop(f"{output}_sample")
 
 
 def reduce_dimensions(
-    df: DataFrame, column: str = COMBINED, output: str = REDUCED, components: int = COMPONENTS
+    df: DataFrame,
+    column: str = COMBINED,
+    output: str = REDUCED,
+    components: int = COMPONENTS,
+    fit: DataFrame | None = None,
 ) -> DataFrame:
     """Principal components of the standardised vectors, at most as many as their width.
 
     Spark projects without centring, so the standardised column goes in. The
     covariance matrix is summed over partitions; only width squared numbers
-    reach the driver.
+    reach the driver. Scaling and axes come from ``fit``, the table by default.
     """
-    scaler = fit_standardizer(df, column, "_standard")
-    scaled = scaler.transform(df).drop("_standard_sample")
+    source = df if fit is None else fit
+    scaler = fit_standardizer(source, column, "_standard")
     width = scaler.stages[0].mean.size
-    model = PCA(k=min(components, width), inputCol="_standard", outputCol=output).fit(scaled)
-    return model.transform(scaled).drop("_standard")
+    axes = PCA(k=min(components, width), inputCol="_standard", outputCol=output)
+    model = axes.fit(scaler.transform(source))
+    return model.transform(scaler.transform(df)).drop("_standard", "_standard_sample")
