@@ -96,7 +96,10 @@ def drop_spread_lines(
     """
     lines = _line_rows(docs, id_col, text_col, site_col)
     often = lines.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    hits = materialize(lines.join(often.select(*KEY), KEY, "left_semi"), "line-hits")
+    # Stored, so that the join below has a plain exchange on both sides: small
+    # tables are broadcast by their size, and the rows of a hot line are split.
+    often = materialize(often.select(*KEY), "often")
+    hits = materialize(lines.join(often, KEY, "left_semi"), "line-hits")
     spread = materialize(spread_lines(hits, min_sites, lg_k, sigmas), "lines-spread")
     cut = (
         hits.join(spread, KEY, "left_semi")
@@ -110,6 +113,7 @@ def drop_spread_lines(
         F.transform("_cut", lambda x: x["_at"]).alias("_cut"),
         chars.alias("_cut_chars"),
     )
+    cut = materialize(cut, "cuts")
     # The row rides in a struct, so that no column of it can clash with those added here.
     keyed = docs.select(
         F.struct(*docs.columns).alias("_in"),
