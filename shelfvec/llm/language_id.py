@@ -145,6 +145,8 @@ def language_centroids(train: DataFrame, idf: np.ndarray, rule: Training) -> Dat
     )
     ranked = likely.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     ids = ranked.where(F.col("k") <= rule.sample).select(F.col("doc_id").alias("_id")).distinct()
+    # Stored, so that its size is known and the texts need not be shuffled for it.
+    ids = materialize(ids, "sample")
     sample = train.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("lang", "text")
     schema = T.StructType(
         [
