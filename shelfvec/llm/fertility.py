@@ -182,6 +182,8 @@ def quality_rules(
         )
         .withColumnRenamed("band_group", "_group")
     )
+    # A row per language: stored, so that the join sees how small it is and moves no text.
+    usual = materialize(usual, "bands")
     per_token = F.col("n_chars_seen") / F.greatest(F.col("n_tokens"), F.lit(1))
     byte_share = F.col("n_byte_tokens") / F.greatest(F.col("n_tokens"), F.lit(1))
     joined = figures.join(usual, F.col("band_group") == F.col("_group"), "left")
