@@ -35,15 +35,16 @@ from shelfvec.llm import batches as B
 
 FRAGMENT = 32
 #: Positions handled at once; 24 bits of a key hold a position.
-SLICE = 1 << 21
+SLICE = 1 << 20
 BATCH_BYTES = 3 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 3 << 20
 
 _draw = np.random.default_rng(20)
 #: Fixed random 64-bit values of bytes, for fragments and for windows.
 FRAGMENT_VALUES = _draw.integers(0, 1 << 64, 256, dtype="u8")
 WINDOW_VALUES = _draw.integers(0, 1 << 64, 256, dtype="u8")
 BASE = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -111,7 +112,8 @@ class Windows:
             cut = np.flatnonzero(new)
             firsts.append(windows[cut] + at)
             lasts.append(windows[np.append(cut[1:], len(windows)) - 1] + at)
-            anchors.append(hashes[place[cut]])
+            # An anchor's hash is the least of many and so small; mixed, it says nothing of its size.
+            anchors.append(hashes[place[cut]] * MIX)
         self.first = np.concatenate([*firsts, np.empty(0, "int64")]).astype("int64")
         self.last = np.concatenate([*lasts, np.empty(0, "int64")]).astype("int64")
         self.anchor = np.concatenate([*anchors, np.empty(0, "u8")]).astype("u8")
