@@ -65,47 +65,65 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority_bits(shingle_hashes(text, shingle))
 
 
-def least_hashes(rows: np.ndarray, most: int) -> list[int]:
-    """The smallest distinct hashes, as signed longs."""
-    values = np.unique(rows.reshape(-1).view(">u8"))[:most]
-    return values.astype("u8").view("i8").tolist()
+def prefix_of(values: np.ndarray, similarity: float, last: np.ndarray | None = None) -> np.ndarray:
+    """So many of the sorted distinct hashes that sets with that Jaccard similarity share one.
+
+    Such sets have at least ``ceil(similarity * n)`` of each one's n hashes in
+    common, so the first common one is among the first ``n - ceil(..) + 1`` in
+    any order that is the same for all sets. Hashes in the sorted ``last`` come
+    after all others.
+    """
+    most = len(values) - int(np.ceil(similarity * len(values) - 1e-9)) + 1 if len(values) else 0
+    if last is not None and len(last):
+        at = np.minimum(np.searchsorted(last, values), len(last) - 1)
+        late = last[at] == values
+        values = np.concatenate([values[~late], values[late]])
+    return values[:most]
 
 
 def fingerprints(
-    docs: DataFrame, text_col: str = "text", shingle: int = 3, drop_text: bool = False, least: int = 0
+    docs: DataFrame, text_col: str = "text", shingle: int = 3, drop_text: bool = False, similarity: float = 0
 ) -> DataFrame:
     """Add ``fp`` (the 64 bits as a signed long) and ``row`` (a number of the row).
 
-    With ``least`` the column ``keys`` holds so many of the smallest hashes.
+    With ``similarity`` the column ``keys`` holds the hashes of ``prefix_of``, and
+    ``size`` the number of distinct shingles.
     """
     ensure_shipped(docs.sparkSession)
-    new = ["fp", "row", *(["keys"] if least else [])]
+    new = ["fp", "row", *(["keys", "size"] if similarity else [])]
     rest = [f for f in docs.schema.fields if f.name not in {*new, *([text_col] if drop_text else [])}]
     kept = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
-    if least:
-        schema = schema.add(T.StructField("keys", T.ArrayType(T.LongType())))
+    if similarity:
+        schema = schema.add(T.StructField("keys", T.ArrayType(T.LongType()))).add(T.StructField("size", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            bits, keys = [], []
+            bits, keys, sizes = [], [], []
             for text in batch.column(text_col).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 bits.append(majority_bits(hashes))
-                if least:
-                    keys.append(least_hashes(hashes, least))
+                if similarity:
+                    values = distinct_hashes(hashes)
+                    sizes.append(len(values))
+                    keys.append(prefix_of(values, similarity).view("i8"))
             rows = np.arange(number, number + len(bits))
             number += len(bits)
             columns = [batch.column(n) for n in kept]
             columns += [pa.array(np.array(bits, dtype="u8").view("i8")), pa.array(rows)]
-            if least:
-                columns.append(pa.array(keys, pa.list_(pa.int64())))
+            if similarity:
+                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     return docs.mapInArrow(run, schema)
 
 
+def distinct_hashes(rows: np.ndarray) -> np.ndarray:
+    """The distinct hashes in order, as unsigned longs."""
+    return np.unique(rows.reshape(-1).view(">u8")).astype("u8")
+
+
 def gray_rank(values: np.ndarray) -> np.ndarray:
     """Place of each 64-bit pattern in the Gray code's order."""
     rank = values.copy()
@@ -290,21 +308,206 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_texts(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of ``u, v, text_u, text_v`` the pairs whose shingle sets have that Jaccard similarity."""
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+LINK = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+
+def hash_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``row, hashes``: the distinct shingle hashes of each ``_text``, eight bytes each."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("hashes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [distinct_hashes(shingle_hashes(t, shingle)).tobytes() for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "hashes"])
+
+    return rows.select("row", "_text").mapInArrow(run, schema)
+
+
+def similar_sets(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of ``u, v, set_u, set_v`` the pairs whose hash sets have that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             close = []
-            for a, b in zip(batch.column("text_u"), batch.column("text_v"), strict=True):
-                x, y = (np.unique(shingle_hashes(t.as_py(), shingle).reshape(-1).view(">u8")) for t in (a, b))
+            for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype="u8") for v in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 close.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             picked = batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
             yield pa.RecordBatch.from_arrays(picked.columns, names=["u", "v"])
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, LINK)
+
+
+def set_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each pair of sets, first before second, whether it has that Jaccard similarity."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype="f8")
+    ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    who = np.repeat(np.arange(n), sizes.astype("int64"))
+    order = np.argsort(ids, kind="stable")
+    starts = np.cumsum(df) - df
+    both = np.zeros((n, n), dtype="f4")
+    heavy = np.flatnonzero(df > max(2, n // 32))
+    # Hashes of many sets by products of zeros and ones, the others pair by pair.
+    column = np.full(len(df), -1)
+    column[heavy] = np.arange(len(heavy))
+    of = column[ids]
+    for first in range(0, len(heavy), 4096):
+        mine = (of >= first) & (of < first + 4096)
+        block = np.zeros((n, min(4096, len(heavy) - first)), dtype="f4")
+        block[who[mine], of[mine] - first] = 1
+        both += block @ block.T
+    light = np.flatnonzero((df > 1) & (column < 0))
+    for times in np.unique(df[light]):
+        at = starts[light[df[light] == times]]
+        holders = [who[order[at + i]] for i in range(times)]
+        for i in range(times):
+            for j in range(i + 1, times):
+                np.add.at(both, (holders[i], holders[j]), 1)
+    return np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-9, 1)
+
+
+def _cell_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """Links that join each cell's rows as all its similar pairs would.
+
+    ``cells`` has ``key, low, high, own, row, part, hashes``; rows of one part are
+    linked already, and those of two chunks meet only each other where they differ.
+    """
+    order = ["key", "low", "high"]
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        row, part, own = (rows.column(n).to_numpy() for n in ("row", "part", "own"))
+        close = part[:, None] != part
+        if rows.column("low")[0] != rows.column("high")[0]:
+            close &= own[:, None] != own
+        if close.any():
+            close &= set_pairs([np.frombuffer(x.as_py(), dtype="u8") for x in rows.column("hashes")], similarity)
+        # Parts stand for their rows, so that links between the same two are one.
+        a, b = np.nonzero(close)
+        labels = smallest_labels(len(row), a, b)
+        moved = np.flatnonzero(labels != np.arange(len(row)))
+        return pa.RecordBatch.from_arrays([pa.array(row[moved]), pa.array(row[labels[moved]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(n).to_numpy() for n in order]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(int(k[a]) for k in keys)
+                if key != open_key:
+                    if parts:
+                        yield linked(pa.Table.from_batches(parts))
+                    open_key, parts = key, []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield linked(pa.Table.from_batches(parts))
+
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, LINK)
+
+
+def set_links(
+    keyed: DataFrame, roots: DataFrame | None, stored: DataFrame, shingle: int, similarity: float,
+    small_group: int, chunk: int, more: DataFrame | None = None,
+) -> DataFrame:
+    """Links between rows that share a key, joining them as all similar pairs would.
+
+    ``keyed`` has ``row, size, key``, ``stored`` the texts; rows of one root are
+    linked already and not compared. Groups with few pairs left a row are compared
+    pair by pair, along with the pairs of ``more``. Others are cut into cells of
+    two chunks each, where every pair still meets.
+    """
+    if roots is not None:
+        keyed = keyed.join(roots, keyed["row"] == roots["node"], "left").select(
+            "row", "size", "key", F.coalesce("root", "row").alias("part")
+        )
+    else:
+        keyed = keyed.select("row", "size", "key", F.col("row").alias("part"))
+    n, total = F.col("n"), F.col("total")
+    groups = (
+        keyed.groupBy("key", "part")
+        .agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+        .groupBy("key")
+        .agg(
+            F.sum("c").alias("n"),
+            F.sum(F.col("c") * F.col("c")).alias("same"),
+            F.sum("s").alias("total"),
+            F.count("*").alias("parts"),
+            F.max(F.struct("c", "part")).alias("top"),
+        )
+        .where(F.col("parts") > 1)
+        .select(
+            "key",
+            F.col("top.part").alias("top"),
+            F.when(n * n - F.col("same") > 2 * small_group * n, F.ceil(F.greatest(n / chunk, total / (chunk << 12))))
+            .otherwise(0)
+            .alias("chunks"),
+        )
+    )
+    groups = materialize(groups, "groups")
+    open_ = materialize(keyed.join(groups, "key"), "shared-keys")
+    few = open_.where(F.col("chunks") == 0)
+    other = few.select("key", F.col("row").alias("v"), F.col("size").alias("size_v"), F.col("part").alias("part_v"))
+    pairs = (
+        few.where(F.col("part") != F.col("top"))
+        .join(other, "key")
+        .where(
+            (F.col("part") != F.col("part_v"))
+            & ((F.col("part_v") == F.col("top")) | (F.col("row") > F.col("v")))
+            # Sets whose sizes differ by more cannot be so similar.
+            & (F.least("size", "size_v") >= similarity * F.greatest("size", "size_v") - 1e-9)
+        )
+        .select(F.col("row").alias("u"), "v")
+    )
+    if more is not None:
+        pairs = pairs.union(more.select("u", "v"))
+    pairs = pairs.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    own = F.pmod(F.xxhash64("row"), F.col("chunks"))
+    cells = (
+        open_.where(F.col("chunks") > 0)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select(
+            "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "row", "part"
+        )
+    )
+    needed = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
+    needed = needed.union(open_.where(F.col("chunks") > 0).select("row")).distinct()
+    needed = materialize(needed, "needed")
+    sets = materialize(hash_sets(stored.join(needed, "row", "left_semi"), shingle), "hash-sets")
+    with_sets = pairs.join(sets.select(F.col("row").alias("u"), F.col("hashes").alias("set_u")), "u").join(
+        sets.select(F.col("row").alias("v"), F.col("hashes").alias("set_v")), "v"
+    )
+    links = similar_sets(with_sets, similarity).union(_cell_links(cells.join(sets, "row"), similarity))
+    return materialize(links, "verified")
+
+
+def _late_last(marked: DataFrame, last: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """``row, keys`` with the hashes in ``last`` after all others; only texts with such keys are read again."""
+    sent = marked.sparkSession.sparkContext.broadcast(last)
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = sent.value
+        for batch in batches:
+            keys = []
+            for old, text in zip(batch.column("keys"), batch.column("_text"), strict=True):
+                values = old.values.to_numpy().view("u8") if len(old) else np.empty(0, dtype="u8")
+                if len(last) and len(values):
+                    at = np.minimum(np.searchsorted(last, values), len(last) - 1)
+                    if (last[at] == values).any():
+                        values = prefix_of(distinct_hashes(shingle_hashes(text.as_py(), shingle)), similarity, last)
+                keys.append(values.view("i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], names=["row", "keys"])
+
+    return marked.select("row", "keys", "_text").mapInArrow(run, schema)
 
 
 def keep_one_of_copies(
@@ -314,20 +517,21 @@ def keep_one_of_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     max_bits: int = 2,
-    far_bits: int = 24,
-    keys: int = 8,
+    first_keys: int = 4,
     small_group: int = 16,
+    chunk: int = 512,
+    common: int = 256,
 ) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
     Links are pairs with a Jaccard similarity of ``similarity`` over word
-    shingles, verified on whole texts. Two searches propose pairs: the Gray-order
-    index gives fingerprints at most ``max_bits`` apart; and as copies near the
-    threshold differ in more bits than an index of blocks can reach, texts
-    that share one of their ``keys`` least shingle hashes are compared if their
-    fingerprints are at most ``far_bits`` apart: in groups of ``small_group``
-    texts each with each, in larger ones with the first text and with one drawn
-    by the hash, so that each shared hash gives a large group another centre.
+    shingles, verified on whole texts, and all such pairs are reached: texts so
+    similar share one of their first shingle hashes in any common order, see
+    ``prefix_of``. The order is by hash; hashes that stand in over ``common``
+    prefixes come last, so that a passage of many texts makes no large groups.
+    Pairs that the Gray-order index finds and those that share one of the first
+    ``first_keys`` hashes are linked first. Then all keys are searched for pairs
+    of texts that are not linked yet. ``set_links`` tells how groups are compared.
 
     Equal texts count once in the search. Null and empty texts are copies of
     each other. Among rows of one id the first stored stays; null ids come last.
@@ -338,54 +542,37 @@ def keep_one_of_copies(
         F.col(id_col).alias("_id"),
         F.coalesce(text_col, F.lit("")).alias("_text"),
     )
-    marked = materialize(fingerprints(wrapped, "_text", shingle, least=keys), "marked")
+    marked = materialize(fingerprints(wrapped, "_text", shingle, similarity=similarity), "marked")
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "row")
-    same = ["fp", "_digest"]
-    light = marked.select("fp", F.xxhash64("_text").alias("_digest"), "row", "_id", "keys")
+    light = marked.select("fp", F.xxhash64("_text").alias("_digest"), "row", "_id", "size")
     texts = materialize(
-        light.groupBy(*same).agg(F.min(place).alias("place"), F.min_by("keys", place).alias("keys")).select(
-            *same, "place", F.col("place.row").alias("row"), "keys"
-        ),
+        light.groupBy("fp", "_digest")
+        .agg(F.min(place).alias("place"), F.first("size").alias("size"))
+        .select("fp", "place", F.col("place.row").alias("row"), "size"),
         "distinct-texts",
     )
+    counts = marked.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    counts = materialize(counts.where(F.col("n") > common), "key-counts")
+    # At most a million of them, whatever the size.
+    least = (marked.agg(F.sum(F.size("keys"))).first()[0] or 0) >> 20
+    often = counts.where(F.col("n") > least).select("key").toArrow().column("key").to_numpy()
+    late = _late_last(marked, np.sort(often.view("u8")), shingle, similarity)
+    keyed = late.join(texts.select("row", "size"), "row").select("row", "size", F.posexplode("keys").alias("at", "key"))
+    keyed = materialize(keyed, "keys")
+    repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
+    keyed = materialize(keyed.join(materialize(repeated, "repeated"), "key", "left_semi"), "repeated-keys")
+
     first = texts.groupBy("fp").agg(F.min("row").alias("row"))
     links = close_links(first.select("fp"), max_bits)
     of = lambda side, name: texts.select(F.col("fp").alias(side), F.col("row").alias(name))
     near = links.select(F.col("u").alias("fu"), F.col("v").alias("fv"))
     near = near.join(of("fu", "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("row").alias("v")), "fv")
     alike = of("fu", "u").join(first.select(F.col("fp").alias("fu"), F.col("row").alias("v")), "fu")
-    keyed = texts.select("row", "fp", F.explode("keys").alias("key"))
-    groups = (
-        keyed.groupBy("key")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("row", "fp")).alias("first"),
-            F.min_by(F.struct("row", "fp"), F.xxhash64("row", "key")).alias("other"),
-        )
-        .where(F.col("n") > 1)
-    )
-    shared = materialize(keyed.join(groups, "key"), "shared-keys")
-    heads = shared.select("row", "fp", F.explode(F.array("first", "other")).alias("head")).select(
-        "row", "fp", F.col("head.row").alias("v"), F.col("head.fp").alias("fv")
-    )
-    small = shared.where(F.col("n") <= small_group).select("key", "row", "fp")
-    mates = small.join(
-        small.select("key", F.col("row").alias("v"), F.col("fp").alias("fv")), "key"
-    ).where(F.col("row") > F.col("v"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fv"))) <= far_bits
-    sharing = heads.union(mates.select("row", "fp", "v", "fv")).where(close)
-    pairs = near.select("u", "v").union(alike.select("u", "v")).union(sharing.select(F.col("row").alias("u"), "v"))
-    pairs = materialize(
-        pairs.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct(),
-        "pairs",
-    )
     stored = marked.select("row", "_text")
-    with_texts = pairs.join(
-        stored.select(F.col("row").alias("u"), F.col("_text").alias("text_u")), "u"
-    ).join(stored.select(F.col("row").alias("v"), F.col("_text").alias("text_v")), "v")
-    links = materialize(similar_texts(with_texts, shingle, similarity), "verified")
+    rule = (stored, shingle, similarity, small_group, chunk)
+    gray = near.select("u", "v").union(alike.select("u", "v"))
+    links = set_links(keyed.where(F.col("at") < first_keys), None, *rule, more=gray)
+    links = links.union(set_links(keyed, materialize(components(links), "roots"), *rule))
     roots = materialize(components(links), "roots")
     stays = (
         texts.join(roots, texts["row"] == roots["node"], "left")

@@ -189,6 +189,55 @@ def test_one_of_copies(awkward, awkward_texts):
     assert Counter(got) == Counter(min(g)[1] for g in groups.values())
 
 
+def least_of_copies(texts):
+    """Of each component over five-word shingle sets at 0.8 the smallest number, by brute force."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return sorted(set(label))
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk": 23, "common": 20}, {"small_group": 1_000, "common": 20}])
+def test_star_of_copies_stays_one(spark, options):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(300)]
+
+    def edited():
+        out = list(base)
+        for at in draw.sample(range(300), 5):
+            out[at] = word()
+        return " ".join(out)
+
+    passage = " ".join(word() for _ in range(40))
+    texts = [edited() for _ in range(100)] + [" ".join(base)] + [edited() for _ in range(100)]
+    texts += [passage + " " + " ".join(word() for _ in range(80)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in simhash.keep_one_of_copies(docs, **options).collect())
+    assert kept == least_of_copies(texts)
+    assert len(kept) < 60
+
+
+@pytest.mark.parametrize("alphabet", [40, 4_000])
+def test_set_pairs_by_brute_force(alphabet):
+    draw = random.Random(3)
+    base = [draw.randrange(alphabet) for _ in range(30)]
+    sets = [np.unique([v if draw.random() < 0.95 else draw.randrange(alphabet) for v in base]).astype("u8") for _ in range(90)]
+    got = simhash.set_pairs(sets, 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = set(a.tolist()), set(b.tolist())
+            assert got[i, j] == (i < j and len(x & y) >= 0.8 * len(x | y))
+
+
 ITEMS = [
     (1, "Which of the rivers that cross the old town is the longest? The river Lena, by far, in all of its seasons."),
     (2, "Two plus two is four and four plus four is eight as every child in this school will know by heart."),
