@@ -226,6 +226,20 @@ def test_star_of_copies_stays_one(spark, options):
     assert len(kept) < 60
 
 
+def test_copies_with_a_line_repeated_are_found(spark):
+    draw = random.Random(4)
+    say = lambda n: " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    texts = []
+    for _ in range(24):
+        page, line = say(300), say(8)
+        texts += [f"{page}\n{line}", page + f"\n{line}" * 20]
+    apart = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert max(apart) > 24
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in simhash.keep_one_of_copies(docs).collect())
+    assert kept == least_of_copies(texts) == list(range(0, 48, 2))
+
+
 @pytest.mark.parametrize("alphabet", [40, 4_000])
 def test_set_pairs_by_brute_force(alphabet):
     draw = random.Random(3)
