@@ -23,8 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand on many sites; ``n_chars`` follows the text."""
-    kept = lines.drop_spread_lines(docs)
+    """Documents without lines that stand on many sites; ``n_chars`` follows the text.
+
+    Only those that consist of such lines alone keep them.
+    """
+    kept = lines.drop_spread_lines(docs, max_share=None)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 

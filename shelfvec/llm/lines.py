@@ -76,7 +76,7 @@ def drop_spread_lines(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 10,
-    max_share: float = 0.5,
+    max_share: float | None = 0.5,
     lg_k: int = 10,
     sigmas: float = 4.0,
     counts: bool = False,
@@ -87,7 +87,9 @@ def drop_spread_lines(
     document with more than ``max_share`` of its characters in such lines is
     not a page with boilerplate but a copy of a page found on many sites: it
     keeps its text and is left to the removal of near copies. So no text
-    disappears from all documents that hold it but for boilerplate lines.
+    disappears from all documents that hold it but for boilerplate lines. With
+    None for ``max_share`` only documents without a line of their own are such
+    copies, and all others lose these lines, however many.
 
     A null site counts as no site, a null text has no lines and stays null.
     Repeated rows and rows with equal ids are treated row by row. Other columns
@@ -124,8 +126,12 @@ def drop_spread_lines(
     same = keyed["_doc"].eqNullSafe(cut["_cut_doc"]) & (keyed["_digest"] == cut["_cut_digest"])
     joined = keyed.join(cut, same, "left")
     text = F.col("_text")
-    removes = F.col("_cut").isNotNull() & (F.col("_cut_chars") <= max_share * F.length(text))
     kept = F.filter(_lines_of(text), lambda _, i: ~F.array_contains("_cut", i))
+    if max_share is None:
+        few = F.exists(kept, lambda line: F.trim(line, F.lit(BLANK)) != "")
+    else:
+        few = F.col("_cut_chars") <= max_share * F.length(text)
+    removes = F.col("_cut").isNotNull() & few
     extra = {}
     if counts:
         extra = {

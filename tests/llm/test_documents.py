@@ -81,6 +81,15 @@ def test_lines(awkward, awkward_texts, lg_k):
     assert want != [r[1] for r in rows_of(awkward_texts)]
 
 
+def test_short_pages_lose_boilerplate_but_not_their_own_lines(spark, tmp_path):
+    boiler = ["All rights reserved on every site.", "Read our terms before you go on."]
+    texts = ["\n".join([*boiler, f"own line {i}"]) for i in range(12)] + ["\n".join(boiler), f" \n{boiler[0]}\n"]
+    rows = [(i, t, f"site{i}", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, str(tmp_path)).collect()}
+    assert got == {i: (x, len(x)) for i, x in enumerate([f"own line {i}" for i in range(12)] + texts[12:])}
+
+
 def test_lines_stay_native(awkward):
     plan = lines.line_digests(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
