@@ -43,8 +43,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents with their token ids."""
-    return pieces.encode_pieces(docs)
+    """The kept documents with their token ids, which are decoded and compared with the text.
+
+    An id list that does not decode to its text, but for the tokenizer's own
+    space sign, which comes back as a space, stops the run.
+    """
+    back = next(n for n in ("decoded", *(f"decoded_{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    coded = pieces.encode_pieces(docs, decoded_col=back)
+    want = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    tokens = F.when(F.col(back) == want, F.col("tokens")).otherwise(F.raise_error("token ids do not decode to their text"))
+    return coded.withColumn("tokens", tokens).drop(back)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -358,6 +358,24 @@ def test_pipeline_stages(spark, awkward, nothing, tmp_path):
         assert docs.count() >= 0
 
 
+def test_tokens_are_decoded_and_compared(spark, monkeypatch):
+    texts = ["plain words", " two  spaces ", "a▁b\n\tc", "日本語", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["tokens"]
+    library = pieces.PieceCodec(pieces.model_path()).library
+    got = {r.doc_id: (r.text, r.tokens) for r in stage(spark, docs, "").collect()}
+    assert got == {i: (t, library.encode(t or "")) for i, t in enumerate(texts)}
+    plain = pieces.encode_pieces
+
+    def wrong(docs, **names):
+        out = plain(docs, **names)
+        return out.withColumn(names["decoded_col"], F.lit("other")) if "decoded_col" in names else out
+
+    monkeypatch.setattr(pieces, "encode_pieces", wrong)
+    with pytest.raises(Exception, match="do not decode"):
+        stage(spark, docs, "").collect()
+
+
 def test_pipeline_against_plain_steps(spark):
     """Every stage on the smallest table against the plainest way to do it."""
     folder = "/root/testdata/sf0.001"
