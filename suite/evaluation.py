@@ -196,10 +196,7 @@ def m12(spark, sf):
 
 @query("m13_task_suite")
 def m13(spark, sf):
-    """Documents as products: their labels, folds, fits and scores, three flags and two classes.
-
-    Iterations are limited, as the suite holds some two hundred fits.
-    """
+    """Documents as products: their labels, folds, fits and scores, three flags and two classes."""
     docs = table(spark, sf, "documents")
     catalog = docs.select(
         F.col("doc_id").alias("row_id"),
@@ -222,7 +219,7 @@ def m13(spark, sf):
     given = _store(spark, sf, "base").withColumnRenamed("row_id", "vec_id")
     place = F.col("row_id") % F.lit(given.count())
     store = catalog.select("row_id", place.alias("vec_id")).join(given, "vec_id").drop("vec_id")
-    results = run_suite(store, ["base"], flags, classes, max_iter=20)
+    results = run_suite(store, ["base"], flags, classes)
     parts = [df.withColumn("evaluator", F.lit(name)) for name, df in results.items()]
     whole = parts[0]
     for part in parts[1:]:
