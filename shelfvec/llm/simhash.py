@@ -415,13 +415,16 @@ def _cell_links(cells: DataFrame, similarity: float) -> DataFrame:
 def set_links(
     keyed: DataFrame, roots: DataFrame | None, stored: DataFrame, shingle: int, similarity: float,
     small_group: int, chunk: int, more: DataFrame | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Links between rows that share a key, joining them as all similar pairs would.
 
     ``keyed`` has ``row, size, key``, ``stored`` the texts; rows of one root are
     linked already and not compared. Groups with few pairs left a row are compared
     pair by pair, along with the pairs of ``more``. Others are cut into cells of
-    two chunks each, where every pair still meets.
+    two chunks each, where every pair still meets. ``whole`` says that ``keyed`` has
+    all keys of ``prefix_of``: then pairs that share too few of them are left out, as
+    beyond the prefix that ends first a pair shares no more than the rest of that set.
     """
     if roots is not None:
         keyed = keyed.join(roots, keyed["row"] == roots["node"], "left").select(
@@ -463,8 +466,17 @@ def set_links(
             # Sets whose sizes differ by more cannot be so similar.
             & (F.least("size", "size_v") >= similarity * F.greatest("size", "size_v") - 1e-9)
         )
-        .select(F.col("row").alias("u"), "v")
     )
+    pairs = pairs.select(F.col("row").alias("u"), "v", "size", "size_v")
+    if whole:
+        # A pair that also shares keys of groups in cells is compared there, whatever is counted here.
+        rest = F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("size", "size_v")))
+        both = similarity / (1 + similarity) * (F.col("size") + F.col("size_v"))
+        met = pairs.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(
+            F.count("*").alias("met"), F.first(both - rest).alias("least")
+        )
+        pairs = met.where(F.col("met") >= F.col("least") - 1e-6)
+    pairs = pairs.select("u", "v")
     if more is not None:
         pairs = pairs.union(more.select("u", "v"))
     pairs = pairs.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -542,9 +554,11 @@ def keep_one_of_copies(
         F.col(id_col).alias("_id"),
         F.coalesce(text_col, F.lit("")).alias("_text"),
     )
-    marked = materialize(fingerprints(wrapped, "_text", shingle, similarity=similarity), "marked")
+    # The text is stored once, in its row.
+    marked = materialize(fingerprints(wrapped, "_text", shingle, drop_text=True, similarity=similarity), "marked")
+    stored = marked.select("row", "keys", F.coalesce(F.col("_in")[text_col], F.lit("")).alias("_text"))
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "row")
-    light = marked.select("fp", F.xxhash64("_text").alias("_digest"), "row", "_id", "size")
+    light = marked.select("fp", F.xxhash64(F.coalesce(F.col("_in")[text_col], F.lit(""))).alias("_digest"), "row", "_id", "size")
     texts = materialize(
         light.groupBy("fp", "_digest")
         .agg(F.min(place).alias("place"), F.first("size").alias("size"))
@@ -556,7 +570,7 @@ def keep_one_of_copies(
     # At most a million of them, whatever the size.
     least = (marked.agg(F.sum(F.size("keys"))).first()[0] or 0) >> 20
     often = counts.where(F.col("n") > least).select("key").toArrow().column("key").to_numpy()
-    late = _late_last(marked, np.sort(often.view("u8")), shingle, similarity)
+    late = _late_last(stored, np.sort(often.view("u8")), shingle, similarity)
     keyed = late.join(texts.select("row", "size"), "row").select("row", "size", F.posexplode("keys").alias("at", "key"))
     keyed = materialize(keyed, "keys")
     repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
@@ -568,11 +582,10 @@ def keep_one_of_copies(
     near = links.select(F.col("u").alias("fu"), F.col("v").alias("fv"))
     near = near.join(of("fu", "u"), "fu").join(first.select(F.col("fp").alias("fv"), F.col("row").alias("v")), "fv")
     alike = of("fu", "u").join(first.select(F.col("fp").alias("fu"), F.col("row").alias("v")), "fu")
-    stored = marked.select("row", "_text")
-    rule = (stored, shingle, similarity, small_group, chunk)
+    rule = (stored.drop("keys"), shingle, similarity, small_group, chunk)
     gray = near.select("u", "v").union(alike.select("u", "v"))
     links = set_links(keyed.where(F.col("at") < first_keys), None, *rule, more=gray)
-    links = links.union(set_links(keyed, materialize(components(links), "roots"), *rule))
+    links = links.union(set_links(keyed, materialize(components(links), "roots"), *rule, whole=True))
     roots = materialize(components(links), "roots")
     stays = (
         texts.join(roots, texts["row"] == roots["node"], "left")
