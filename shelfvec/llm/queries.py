@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfvec.llm import (
     class_lm,
     contamination,
+    conversation_repair,
     extraction,
     fertility,
+    host_reputation,
     language_id,
     lines,
     pieces,
+    prefix_trie,
     simhash,
     suffix_dedup,
     token_files,
@@ -68,6 +71,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_contamination": op2_contamination,
@@ -79,8 +94,13 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_lines": op9_lines,
     "op10_pieces": op10_pieces,
+    "op11_repair": op11_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_host_reputation": op13_host_reputation,
 }
 
 ORACLES: dict[str, str] = {
     "op9_lines": lines.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_host_reputation": host_reputation.SQL,
 }
