@@ -109,7 +109,18 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return name, verdict
 
 
-def level_strength(children: DataFrame, parents: DataFrame, keys: list[str], limits: Reputation) -> float:
+def with_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Children with the sums of their parent."""
+    named = parents.select(
+        *[F.col(c).alias(f"of_{c}") for c in keys],
+        F.col("n").alias("parent_n"),
+        F.col("k").alias("parent_k"),
+        F.col("pairs").alias("parent_pairs"),
+    )
+    return children.join(named, [F.col(c) == F.col(f"of_{c}") for c in keys])
+
+
+def level_strength(family: DataFrame, limits: Reputation) -> float:
     """Strength of the beta prior that children of one parent share, by moments.
 
     With n trials of a child, N and K of its parent, p = K / N, the square of
@@ -121,17 +132,8 @@ def level_strength(children: DataFrame, parents: DataFrame, keys: list[str], lim
     p, share = hits / big, n / big
     square = (k - n * p) ** 2 / (p * (1 - p))
     weight = n * (n - 1) * (1 - 2 * share) + share * share * F.col("parent_pairs")
-    named = parents.select(
-        *[F.col(c).alias(f"of_{c}") for c in keys],
-        F.col("n").alias("parent_n"),
-        F.col("k").alias("parent_k"),
-        F.col("pairs").alias("parent_pairs"),
-    )
-    same = [F.col(c) == F.col(f"of_{c}") for c in keys]
-    # Without keys the parent is one row of totals.
-    both = children.join(named, same) if keys else children.join(F.broadcast(named), F.lit(True))
     sums = (
-        both.where((n > 0) & (hits > 0) & (hits < big) & (n < big))
+        family.where((n > 0) & (hits > 0) & (hits < big) & (n < big))
         .agg(F.sum(square - n * (1 - share)).alias("over"), F.sum(weight).alias("weight"))
         .first()
     )
@@ -202,12 +204,12 @@ def host_reputation(counts: DataFrame, limits: Reputation = Reputation(), suffix
     hosts = counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
     domains = materialize(_sums(hosts, ["suffix", "domain"]), "domains")
     suffixes_ = materialize(_sums(domains, ["suffix"]), "suffixes")
-    whole = _sums(suffixes_, [])
-    total = whole.first()
+    total = _sums(suffixes_, []).first()
     n, k = (total["n"] or 0), (total["k"] or 0)
-    by_host = level_strength(hosts, domains, ["suffix", "domain"], limits)
-    by_domain = level_strength(domains, suffixes_, ["suffix"], limits)
-    by_suffix = level_strength(suffixes_, whole, [], limits)
+    by_host = level_strength(with_parents(hosts, domains, ["suffix", "domain"]), limits)
+    by_domain = level_strength(with_parents(domains, suffixes_, ["suffix"]), limits)
+    of_all = {f"parent_{c}": F.lit(total[c] or 0) for c in ("n", "k", "pairs")}
+    by_suffix = level_strength(suffixes_.withColumns(of_all), limits) if 0 < k < n else limits.strength
 
     def shrunk(strength: float, mean: Column) -> Column:
         return (strength * mean + F.col("k")) / (strength + F.col("n"))
