@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfvec.operators import labels as L
 from shelfvec.operators import metrics as M
-from shelfvec.operators.features import COMBINED, reduce_dimensions, standardize, vector_columns
-from shelfvec.operators.classify import Settings, logistic_regression
+from shelfvec.operators.axes import reduce_wide
+from shelfvec.operators.classify import Settings, logistic_regression, regression_coefficients
+from shelfvec.operators.features import COMBINED, IMAGE, TEXT, reduce_dimensions, standardize, vector_columns
 from shelfvec.operators.folds import class_weights, stratified_folds, with_class_weights
-from shelfvec.plans.evaluation import evaluate, evaluation, run_suite
+from shelfvec.plans.evaluation import Evaluation, evaluate, evaluation, fit_jobs, folded_labels, run_suite, stored_rows
 from suite import query, table
 from suite.catalog import SHUFFLE_KEY_SQL
 from suite.views import LEMMA_ROWS, clothes, vectors
@@ -55,6 +56,58 @@ def m2_full(spark, sf):
     return reduced.select("row_id", F.round(square, 5).alias("length2"))
 
 
+def axes_sql(components, steps=26):
+    """CTEs ``axis1`` and on: each leading axis as the matrix v v', by squaring what is left.
+
+    Squared over and over at trace one, a covariance matrix becomes the
+    projection on its first axis; that axis is then taken out.
+    """
+    parts = ["""
+        v AS (SELECT vec_id AS row_id, i AS place, embedding[i + 1]::DOUBLE AS x FROM embeddings, unnest(range(64)) r(i)),
+        s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS dev FROM v GROUP BY place),
+        z AS MATERIALIZED (SELECT row_id, place, (x - mean) / dev AS x FROM v JOIN s USING (place)),
+        cov1 AS MATERIALIZED (SELECT a.place AS i, b.place AS j, avg(a.x * b.x) AS c FROM z a JOIN z b USING (row_id) GROUP BY ALL)"""]
+    for k in range(1, components + 1):
+        parts.append(f"""
+        power{k} AS (
+          SELECT 0 AS step, i, j, c / (SELECT sum(c) FROM cov{k} WHERE i = j) AS p FROM cov{k}
+          UNION ALL
+          SELECT step + 1, i, j, q / sum(CASE WHEN i = j THEN q END) OVER ()
+          FROM (SELECT a.step, a.i, b.j, sum(a.p * b.p) AS q FROM power{k} a JOIN power{k} b ON a.j = b.i
+                WHERE a.step < {steps} GROUP BY ALL)),
+        axis{k} AS MATERIALIZED (SELECT i, j, p FROM power{k} WHERE step = {steps}),
+        cov{k + 1} AS MATERIALIZED (
+          SELECT i, j, c - p * (SELECT sum(x.c * y.p) FROM cov{k} x JOIN axis{k} y ON x.i = y.i AND x.j = y.j) AS c
+          FROM cov{k} JOIN axis{k} USING (i, j))""")
+    return ",".join(parts)
+
+
+def squares_sql(components):
+    return " UNION ALL ".join(
+        f"""SELECT a.row_id, {k - 1} AS place, round(sum(a.x * p * b.x), 4) + 0.0 AS square
+            FROM z a JOIN axis{k} ON a.place = i JOIN z b ON b.row_id = a.row_id AND b.place = j GROUP BY a.row_id"""
+        for k in range(1, components + 1)
+    )
+
+
+def _squares(reduced, components, column="PCA"):
+    values = vector_to_array(column)
+    pairs = [F.struct(F.lit(i).alias("place"), (F.round(values[i] * values[i], 4) + 0.0).alias("square")) for i in range(components)]
+    return reduced.select("row_id", F.explode(F.array(*pairs)).alias("x")).select("row_id", "x.place", "x.square")
+
+
+@query("m2_axes", f"WITH RECURSIVE {axes_sql(10)} {squares_sql(10)}")
+def m2_axes(spark, sf):
+    """The ten components, squared as signs are free; the twin squares covariance matrices."""
+    return _squares(reduce_dimensions(vector_columns(vectors(spark, sf))), 10)
+
+
+@query("m2_wide_axes", f"WITH RECURSIVE {axes_sql(3)} {squares_sql(3)}")
+def m2_wide(spark, sf):
+    """Three components by rounds of products, without a matrix of width by width."""
+    return _squares(reduce_wide(vector_columns(vectors(spark, sf)), COMBINED, "PCA", 3, turn=1e-11), 3)
+
+
 KEY_SQL = SHUFFLE_KEY_SQL.format(key="vec_id")
 FOLDS_SQL = f"""
 folds AS (SELECT vec_id AS row_id, label AS target,
@@ -187,6 +240,81 @@ def m7(spark, sf):
     return _rounded(evaluate(store, ["base"], tasks, config, one_score=False))
 
 
+@query("m7_relu_adam")
+def m7_adam(spark, sf):
+    """The network of rectified units, trained by Adam in mini-batches, per fold."""
+    config = evaluation("adam", multiclass=True)
+    tasks = {"label": _classes(spark, sf)}
+    return _rounded(evaluate(_store(spark, sf, "base"), ["base"], tasks, config, one_score=False))
+
+
+def _stationary_sql(classes, widths):
+    sets = ", ".join(f"('{name}', {width})" for name, width in widths.items())
+    return f"""
+        WITH {FOLDS_SQL}, sets(data_type, width) AS (VALUES {sets})
+        SELECT data_type, f.fold AS fold, k::INT AS output, i::INT AS place, 0.0::DOUBLE AS gradient,
+               (SELECT count(*) FROM folds t WHERE t.fold <> f.fold)::DOUBLE AS weight
+        FROM sets, (SELECT DISTINCT fold FROM folds) f, range({classes}) o(k), range(width + 1) p(i)"""
+
+
+def _stationary(spark, sf, config, labels):
+    """The objective's gradient at the fitted coefficients of every set and fold, summed by expressions.
+
+    The objective is strictly convex but for a common shift of the intercepts,
+    so a gradient of zero names the one optimum. ``weight`` is the sum of the
+    balanced weights, that is the number of training rows.
+    """
+    stored = stored_rows(folded_labels(labels, config), _store(spark, sf, "base"), config)
+    (job,) = fit_jobs(stored, config)
+    fitted = regression_coefficients(job)
+    widths = {TEXT: 32, IMAGE: 32, COMBINED: 64}
+    columns = {name: F.concat(*[vector_to_array(c) for c in job.spans.get(name, (name,))]) for name in widths}
+    folds = F.explode(F.sequence(F.lit(0), F.lit(config.folds - 1))).alias("held")
+    sides = [job.table.select(F.lit(name).alias("set"), "target", "fold", "weights", F.concat(x, F.array(F.lit(1.0))).alias("x"), folds) for name, x in columns.items()]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).where("fold <> held")
+    # A row of coefficients per set and fold.
+    met = rows.join(F.broadcast(fitted.withColumnsRenamed({"data_type": "set", "fold": "held"})), ["set", "held"])
+    dot = lambda c: F.aggregate(F.zip_with(c, "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scores = F.transform("coefficients", dot)
+    if config.settings.multiclass:
+        top = F.array_max("scores")
+        total = F.aggregate("scores", F.lit(0.0), lambda s, z: s + F.exp(z - top))
+        error = F.transform("scores", lambda z, k: F.exp(z - top) / total - F.when(k == F.col("target"), 1.0).otherwise(0.0))
+    else:
+        error = F.transform("scores", lambda z: 1 / (1 + F.exp(-z)) - F.col("target"))
+    met = met.withColumn("scores", scores).withColumn("weight", F.get("weights", F.col("held")))
+    each = met.select("set", "held", "weight", "coefficients", "x", F.posexplode(error).alias("output", "error"))
+    each = each.select("set", "held", "weight", "output", "error", F.get("coefficients", F.col("output")).alias("own"), F.posexplode("x").alias("place", "x"))
+    sums = each.groupBy("set", "held", "output", "place").agg(
+        F.sum(F.col("weight") * F.col("error") * F.col("x")).alias("slope"),
+        F.sum("weight").alias("weight"),
+        F.first(F.get("own", F.col("place"))).alias("own"),
+        F.first(F.size("own")).alias("size"),
+    )
+    penalty = F.when(F.col("place") < F.col("size") - 1, F.col("own")).otherwise(0.0)
+    return sums.select(
+        F.col("set").alias("data_type"), F.col("held").alias("fold"), "output", "place",
+        (F.round((F.col("slope") + penalty) / F.col("weight"), 4) + 0.0).alias("gradient"), F.round("weight", 6).alias("weight"),
+    )
+
+
+SETS = {"Text": 32, "Image": 32, "Combined": 64}
+
+
+@query("m5_optimum", _stationary_sql(1, SETS).replace("label AS target", "(label = 0)::INT AS target").replace("ORDER BY label,", "ORDER BY label = 0,"))
+def m5_optimum(spark, sf):
+    """Binary regressions of three feature sets and five folds stand at their optimum."""
+    config = Evaluation(Settings(tol=1e-13), feature_sets=(TEXT, IMAGE, COMBINED))
+    return _stationary(spark, sf, config, _binary(spark, sf))
+
+
+@query("m6_optimum", _stationary_sql(10, SETS))
+def m6_optimum(spark, sf):
+    """The same for ten classes at once."""
+    config = Evaluation(Settings(multiclass=True, tol=1e-13), "weighted", feature_sets=(TEXT, IMAGE, COMBINED))
+    return _stationary(spark, sf, config, _classes(spark, sf))
+
+
 @query("m12_grid")
 def m12(spark, sf):
     store = _store(spark, sf, "base", "swapped")

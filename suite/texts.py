@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfvec.functions.text import clean_text, shares_word, words
+from shelfvec.operators.endings import MAX_ENDING, MIN_SHARE, MIN_STEM, MIN_VOTES, learn_endings
 from shelfvec.operators.language import (
     language_of_column,
     language_of_row,
@@ -138,6 +139,65 @@ def t4(spark, sf):
     return normalize_text(cleaned, "line", _lemmas(spark, sf), language="en")
 
 
+# A fifth of the dictionary's forms is held out; the rest teaches the endings.
+HELD_OUT_SQL = "substr(md5(form), 1, 1) IN ('0', '1', '2')"
+ENDINGS_SQL = f"""
+known AS (SELECT * FROM lemmas WHERE NOT {HELD_OUT_SQL}),
+changes AS (
+  SELECT form, lemma, (SELECT count(*) FROM range(1, least(len(form), len(lemma)) + 1) r(i)
+                       WHERE left(form, i) = left(lemma, i)) AS same FROM known),
+votes AS (
+  SELECT right(form, n) AS ending, n, len(form) - same AS cut, substr(lemma, same + 1) AS gain, count(*) AS votes
+  FROM changes, range({MAX_ENDING} + 1) r(n) WHERE n <= len(form) - {MIN_STEM} GROUP BY ALL),
+ranked AS (SELECT *, sum(votes) OVER (PARTITION BY ending) AS total FROM votes),
+best AS (
+  SELECT * FROM ranked WHERE cut <= n
+  QUALIFY row_number() OVER (PARTITION BY ending ORDER BY votes DESC, cut, gain) = 1),
+rules AS (SELECT * FROM best WHERE votes >= {MIN_VOTES} AND votes >= {MIN_SHARE} * total),
+endings AS (
+  SELECT r.ending, r.cut, r.gain, r.votes FROM rules r
+  LEFT JOIN rules s ON s.n < r.n AND s.ending = right(r.ending, s.n)
+  GROUP BY ALL
+  HAVING count(s.n) = 0 OR arg_max(s.cut, s.n) <> r.cut OR arg_max(s.gain, s.n) <> r.gain)
+"""
+
+
+def _held_out(form):
+    return F.substring(F.md5(form), 1, 1).isin("0", "1", "2")
+
+
+@query(
+    "t4_ending_rules",
+    f"""WITH {LEMMAS_SQL}, {ENDINGS_SQL}
+        SELECT 'en' AS lang, ending, cut::INT AS cut, gain, votes FROM endings""",
+)
+def t4_rules(spark, sf):
+    """The rules that four fifths of the dictionary teach."""
+    return learn_endings(_lemmas(spark, sf).where(~_held_out("form")))
+
+
+@query(
+    "t4_unknown_forms",
+    f"""WITH {LEMMAS_SQL}, {ENDINGS_SQL},
+        cleaned AS (SELECT doc_id, {clean_sql("text")} AS clean FROM documents),
+        forms AS (SELECT DISTINCT lower(token) AS form
+                  FROM (SELECT unnest({tokens_sql("clean")}) AS token FROM cleaned)
+                  WHERE regexp_matches(lower(token), '^\\p{{L}}+$')),
+        guessed AS (
+          SELECT form, arg_max(left(form, len(form) - cut) || gain, len(ending)) AS lemma
+          FROM forms JOIN endings ON ends_with(form, ending) AND len(ending) <= len(form) - {MIN_STEM}
+          WHERE form NOT IN (SELECT form FROM known) GROUP BY form),
+        dictionary AS (SELECT form, lemma FROM known UNION ALL SELECT form, lemma FROM guessed),
+        {normalized_sql("doc_id", "clean", "cleaned").replace("JOIN lemmas l", "JOIN dictionary l")}
+        SELECT doc_id, coalesce(line, '') AS line FROM documents LEFT JOIN lines USING (doc_id)""",
+)
+def t4_unknown(spark, sf):
+    """Texts lemmatised by the smaller dictionary, forms it lacks by their endings."""
+    known = _lemmas(spark, sf).where(~_held_out("form"))
+    cleaned = text_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("line"))
+    return normalize_text(cleaned, "line", known, language="en", endings=learn_endings(known))
+
+
 @query(
     "t5_normalize_columns",
     f"""WITH {LEMMAS_SQL},
