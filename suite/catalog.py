@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from shelfvec.operators import numbering as N
 from shelfvec.operators import prepare as P
 from shelfvec.operators.joins import append
+from shelfvec.operators.position_store import PositionStore
 from shelfvec.plans.preparation import prepare_catalog, prepare_training, prepared_columns
 from shelfvec.sources.products import read_products, read_splits
 from shelfvec.sources.scratch import fresh_path
@@ -291,3 +292,17 @@ def j5(spark, sf):
     return append(
         table(spark, sf, "documents").select("text"), table(spark, sf, "benchmark").select("text")
     )
+
+
+@query(
+    "p12_appended_positions",
+    "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents",
+)
+def p12_appended(spark, sf):
+    """Positions after three appends to a stored table; only ranges with new rows are written anew."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    store = PositionStore(spark, fresh_path(spark, "positions"), "doc_id", range_rows=max(50, docs.count() // 16))
+    store.create(docs.where("doc_id % 10 < 7"))
+    for part in ("doc_id % 10 = 7", "doc_id % 10 = 8 AND doc_id % 3 = 0", "doc_id % 10 = 9 OR (doc_id % 10 = 8 AND doc_id % 3 <> 0)"):
+        store.append(docs.where(part))
+    return store.positions()

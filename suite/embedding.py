@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfvec.operators.encode import encode, onnx_factory, vector_report
+from shelfvec.operators.identical import identical_products
 from shelfvec.operators.resize import complete_images, resize_images
 from shelfvec.operators.similarity import (
     batch_logits,
@@ -235,3 +236,50 @@ def e8(spark, sf):
 )
 def e9(spark, sf):
     return vector_report(vectors(spark, sf))
+
+
+# Listings of one product: every fifth vector again with other components, some of them twice over.
+LISTINGS_SQL = """
+listings AS (
+  SELECT vec_id AS row_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  UNION ALL
+  SELECT vec_id + 10000000, list_transform(embedding, lambda x, i: x::DOUBLE * (1 + 0.15 * ((i * 7 + vec_id) % 5 - 2)))
+  FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL
+  SELECT vec_id + 20000000, list_transform(embedding, lambda x, i: x::DOUBLE * power(1 + 0.15 * ((i * 7 + vec_id) % 5 - 2), 2))
+  FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL
+  SELECT vec_id + 30000000, list_transform(embedding, lambda x: x::DOUBLE * 4) FROM embeddings WHERE vec_id % 20 = 0)
+"""
+
+
+def _listings(spark, sf):
+    base = table(spark, sf, "embeddings")
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    factor = lambda i: 1 + 0.15 * (((i + 1) * 7 + F.col("vec_id")) % 5 - 2)
+    parts = [
+        base.select(F.col("vec_id").alias("row_id"), vec.alias("vector")),
+        base.where("vec_id % 5 = 0").select(F.col("vec_id") + 10000000, F.transform(vec, lambda x, i: x * factor(i))),
+        base.where("vec_id % 10 = 0").select(F.col("vec_id") + 20000000, F.transform(vec, lambda x, i: x * factor(i) * factor(i))),
+        base.where("vec_id % 20 = 0").select(F.col("vec_id") + 30000000, F.transform(vec, lambda x: x * 4)),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
+
+
+@query(
+    "e4_identical_products",
+    f"""WITH RECURSIVE {LISTINGS_SQL},
+        pairs AS MATERIALIZED (
+          SELECT a.row_id AS u, b.row_id AS v FROM listings a JOIN listings b ON a.row_id <> b.row_id
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach AS (SELECT row_id AS u, row_id AS v FROM listings
+                  UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u)
+        SELECT u AS row_id, min(v) AS product_id, (SELECT count(*) FROM pairs p WHERE p.u = reach.u) AS n_links
+        FROM reach GROUP BY u""",
+)
+def e4_identical(spark, sf):
+    """Groups of listings whose cosine is 0.95 or more, the twin by all pairs."""
+    return identical_products(_listings(spark, sf), 0.95, recall=0.999999)

@@ -12,6 +12,7 @@ from shelfvec.operators.classify import Settings, logistic_regression, regressio
 from shelfvec.operators.features import COMBINED, IMAGE, TEXT, reduce_dimensions, standardize, vector_columns
 from shelfvec.operators.folds import class_weights, stratified_folds, with_class_weights
 from shelfvec.plans.evaluation import Evaluation, evaluate, evaluation, fit_jobs, folded_labels, run_suite, stored_rows
+from shelfvec.operators.price_ranges import price_classes
 from suite import query, table
 from suite.catalog import SHUFFLE_KEY_SQL
 from suite.views import LEMMA_ROWS, clothes, vectors
@@ -240,6 +241,20 @@ def m7(spark, sf):
     return _rounded(evaluate(store, ["base"], tasks, config, one_score=False))
 
 
+@query(
+    "m6_price_classes",
+    """WITH r AS (SELECT o_totalprice::DOUBLE AS x, row_number() OVER (ORDER BY o_totalprice) AS place,
+                         count(*) OVER () AS n FROM orders),
+            bounds AS (SELECT k, x FROM r, range(1, 7) c(k) WHERE place = greatest(ceil(k * n / 7.0 - 1e-9), 1))
+       SELECT o_orderkey AS row_id, (SELECT count(*) FROM bounds b WHERE o_totalprice::DOUBLE > b.x)::INT AS target
+       FROM orders""",
+)
+def m6_price_classes(spark, sf):
+    """Seven price ranges of equal size as classes."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+    return price_classes(orders, "o_totalprice", 7, exact_rows=500).select("row_id", "target")
+
+
 @query("m7_relu_adam")
 def m7_adam(spark, sf):
     """The network of rectified units, trained by Adam in mini-batches, per fold."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfvec.functions.text import clean_text, shares_word, words
+from shelfvec.operators.phrases import drop_phrases
 from shelfvec.operators.endings import MAX_ENDING, MIN_SHARE, MIN_STEM, MIN_VOTES, learn_endings
 from shelfvec.operators.language import (
     language_of_column,
@@ -71,6 +72,37 @@ def t2(spark, sf):
     return text_table(spark, sf, "pages").select("page_id", clean_text(opened, DROP).alias("clean"))
 
 
+# Phrases taken from the corpus: what follows "the" and "de", and pairs of such.
+PHRASES_SQL = f"""
+cleaned AS (SELECT doc_id, {tokens_sql(clean_sql("text"))} AS tokens FROM documents),
+placed AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM cleaned),
+heads AS (SELECT a.doc_id, a.pos, a.token AS a, b.token AS b, c.token AS c FROM placed a
+          JOIN placed b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
+          JOIN placed c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.token IN ('the', 'de')),
+phrases AS (SELECT a || ' ' || b AS phrase FROM heads WHERE length(b) <= 3
+            UNION SELECT a || ' ' || b || ' ' || c FROM heads WHERE length(b) <= 3 AND length(c) = 2)
+"""
+
+
+@query(
+    "t2_drop_phrases",
+    f"""WITH {PHRASES_SQL},
+        pattern AS (SELECT ' (?:' || string_agg(replace(phrase, ' ', '  '), '|' ORDER BY len(phrase) - len(replace(phrase, ' ', '')) DESC, phrase) || ') ' AS p
+                    FROM phrases)
+        SELECT doc_id, trim(regexp_replace(regexp_replace(' ' || array_to_string(tokens, '  ') || ' ', p, '', 'g'), ' +', ' ', 'g'), ' ') AS clean
+        FROM cleaned, pattern""",
+)
+def t2_phrases(spark, sf):
+    """Phrases of two and three words dropped, the longest first."""
+    docs = text_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("clean"))
+    tokens = words("clean")
+    heads = docs.select(F.explode(F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, 1 << 30).alias("b"), F.slice(tokens, 3, 1 << 30).alias("c"))).alias("h"))
+    heads = heads.select("h.*").where(F.col("a").isin("the", "de") & F.col("c").isNotNull() & (F.length("b") <= 3))
+    two = heads.select(F.concat_ws(" ", "a", "b").alias("phrase"))
+    three = heads.where(F.length("c") == 2).select(F.concat_ws(" ", "a", "b", "c").alias("phrase"))
+    return drop_phrases(docs, "clean", two.union(three).distinct())
+
+
 # German rows are spelled with Cyrillic vowels.
 MIXED_SQL = "CASE WHEN lang = 'de' THEN translate(text, 'aeo', 'аео') ELSE text END"
 
