@@ -79,9 +79,15 @@ class WordEncoder:
         pieces = [self.ids(w) for w in ("ab", ",", "cd", ".", "ef", ";")]
         if sum(pieces, []) != self.ids(probe):
             raise ValueError(f"{tokenizer_file} keeps case, white space or words together")
+        # Words of a-z pass the normaliser and the splitter unchanged, so the model alone knows their ids.
+        self.model = self.library.model
+        self.plain = all(self._model_ids(w) == self.ids(w) for w in ("a", "z", "plain", "words", "qxzjk", "etaoin" * 9))
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _model_ids(self, word: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(word)]
+
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -97,7 +103,8 @@ class WordEncoder:
         if found is None:
             found = self.older.get(word)
             if found is None:
-                found = array("i", self.ids(word)).tobytes()
+                bare = self.plain and word.isascii() and word.isalpha() and word.islower()
+                found = array("i", self._model_ids(word) if bare else self.ids(word)).tobytes()
             self._keep(word, found)
         return found
 
