@@ -10,6 +10,7 @@ language, or of the same script where the language is null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,20 +69,26 @@ def script_of(text: str) -> str:
 
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a window of three words found twice or more."""
-    if len(words) < 4:
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
         return 0
-    numbers: dict[str, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype="int64")
-    size = len(numbers)
-    pairs = ids[:-1] * size + ids[1:]
-    if size >= 1 << 20:
-        _, pairs = np.unique(pairs, return_inverse=True)
-    _, at, times = np.unique(pairs[:-1] * size + ids[2:], return_inverse=True, return_counts=True)
-    again = times[at] > 1
-    covered = np.zeros(len(ids), dtype=bool)
-    for shift in range(3):
-        covered[shift : len(ids) - 2 + shift] |= again
-    return int(covered.sum())
+    times = Counter(windows)
+    covered = bytearray(len(words))
+    for at, window in enumerate(windows):
+        if times[window] > 1:
+            covered[at : at + 3] = b"\1\1\1"
+    return sum(covered)
+
+
+def token_entropy(ids: np.ndarray) -> float:
+    """Entropy of a text's token ids in bits."""
+    if not len(ids):
+        return 0.0
+    # Narrow numbers are sorted by radix.
+    ordered = np.sort(ids.astype("u2") if ids.max() < 1 << 16 else ids, kind="stable")
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ids) - 1)
+    share = np.diff(ends, prepend=-1) / len(ids)
+    return float(-(share * np.log2(share)).sum()) + 0.0
 
 
 def duplicate_lines(text: str) -> int:
@@ -99,8 +106,6 @@ class Figures:
         text = text or ""
         words = words_of(text)
         ids = np.frombuffer(self.codec.encode(text), "<i4")
-        _, times = np.unique(ids, return_counts=True)
-        share = times / max(len(ids), 1)
         return (
             len(words),
             sum(map(len, words)),
@@ -110,7 +115,7 @@ class Figures:
             len(ids),
             len(text),
             int(self.fallback[ids].sum()),
-            float(-(share * np.log2(share)).sum()) + 0.0,
+            token_entropy(ids),
             lang if lang is not None else f"script {script_of(text)}",
         )
 
@@ -180,28 +185,33 @@ def quality_rules(
             (F.sum("n_chars_seen") / F.sum("n_tokens")).alias("_usual_chars"),
             F.round(F.avg("token_entropy"), 6).alias("_usual_entropy"),
         )
-        .withColumnRenamed("band_group", "_group")
     )
     # A row per language: stored, so that the join sees how small it is and moves no text.
-    usual = materialize(usual, "bands")
-    per_token = F.col("n_chars_seen") / F.greatest(F.col("n_tokens"), F.lit(1))
-    byte_share = F.col("n_byte_tokens") / F.greatest(F.col("n_tokens"), F.lit(1))
-    joined = figures.join(usual, F.col("band_group") == F.col("_group"), "left")
-    ratio = per_token / F.col("_usual_chars")
+    usual = materialize(usual, "bands").select(F.struct("band_group", "_usual_chars", "_usual_entropy").alias("usual"))
+    # The row rides in a struct, so that no column of it can clash with those of the bands.
+    own = {c: F.col("row")[c] for c in figures.columns}
+    joined = figures.select(F.struct(*figures.columns).alias("row")).join(usual, own["band_group"] == F.col("usual.band_group"), "left")
+    tokens = F.greatest(own["n_tokens"], F.lit(1))
+    per_token, byte_share = own["n_chars_seen"] / tokens, own["n_byte_tokens"] / tokens
     in_bands = (
-        ratio.between(rule.min_chars_per_token, rule.max_chars_per_token)
+        (per_token / F.col("usual._usual_chars")).between(rule.min_chars_per_token, rule.max_chars_per_token)
         & (byte_share <= rule.byte_share)
-        & (F.col("token_entropy") >= rule.min_entropy * F.col("_usual_entropy"))
+        & (own["token_entropy"] >= rule.min_entropy * F.col("usual._usual_entropy"))
     )
     return joined.select(
-        *figures.columns,
+        *[value.alias(c) for c, value in own.items()],
         per_token.alias("chars_per_token"),
         byte_share.alias("byte_share"),
-        (~F.col("base_failed") & F.coalesce(in_bands, F.lit(False))).alias("kept"),
+        (~own["base_failed"] & F.coalesce(in_bands, F.lit(False))).alias("kept"),
     )
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
+    """The registered query: every document's figures and verdict, as ``quality_rules`` defines them.
+
+    Null and empty texts fail, repeated rows and equal ids are treated row by
+    row, an empty table gives an empty table.
+    """
     return quality_rules(docs.select("doc_id", "text", "lang"), drop_text=True).select(
         "doc_id",
         "n_words",

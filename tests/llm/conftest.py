@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tokens int, leaks int, _in int, kept string, row int, n_words string, _text string, bucket int"
-CLASH = ("a", 1, 2, 3, "b", 4, "c", "d", 5)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tokens int, leaks int, _in int, kept string, row int, n_words string, _text string, bucket int, _group string, _usual_chars double, _usual_entropy string, usual int"
+CLASH = ("a", 1, 2, 3, "b", 4, "c", "d", 5, "en", 6.0, "e", 7)
 
 
 def prose(draw: random.Random, words: int, vocabulary: int = 400) -> str:
