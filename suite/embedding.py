@@ -14,6 +14,8 @@ from shelfvec.operators.similarity import (
     l2_normalize,
 )
 from shelfvec.plans.embedding import embed_rows
+from shelfvec.sources.image_files import decode_images, read_listed_files
+from shelfvec.sources.scratch import fresh_path
 from shelfvec.sources.shipping import ensure_shipped
 from suite import query, table
 from suite.onnx_model import matmul_model
@@ -283,3 +285,56 @@ def _listings(spark, sf):
 def e4_identical(spark, sf):
     """Groups of listings whose cosine is 0.95 or more, the twin by all pairs."""
     return identical_products(_listings(spark, sf), 0.95, recall=0.999999)
+
+
+def write_png(path, height, width, data):
+    """A grey PNG file, every line under another filter."""
+    import struct
+    import zlib
+
+    from pyarrow import fs
+
+    lines = b""
+    for y in range(height):
+        row = data[y * width : (y + 1) * width]
+        above = data[(y - 1) * width : y * width] if y else bytes(width)
+        before = b"\0" + row[:-1]
+        guess = (bytes(width), before, above)[y % 3]
+        lines += bytes([y % 3]) + bytes((a - b) & 255 for a, b in zip(row, guess, strict=True))
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place.rsplit("/", 1)[0])
+    with system.open_output_stream(place) as file:
+        file.write(content)
+
+
+@query(
+    "s7_listed_images",
+    f"""WITH {PIXELS_SQL}
+        SELECT vec_id AS nm, vec_id % 9 = 4 AS missing,
+               CASE WHEN vec_id % 9 = 4 THEN -1 ELSE 8 END AS height, CASE WHEN vec_id % 9 = 4 THEN -1 ELSE 8 END AS width,
+               CASE WHEN vec_id % 9 = 4 THEN '' ELSE (SELECT upper(string_agg(lpad(printf('%x', v), 2, '0'), '' ORDER BY y, x)) FROM pixels p WHERE p.nm = vec_id) END AS pixels
+        FROM embeddings""",
+)
+def s7(spark, sf):
+    """Pictures written to files by their tasks, a ninth of them left out, and read by a list of paths."""
+    ensure_shipped(spark)
+    ensure_shipped(spark, "suite")
+    folder = fresh_path(spark, "pictures").replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+    path = F.concat(F.lit(folder + "/"), F.col("nm") % 7, F.lit("/"), "nm", F.lit(".png")).alias("image_path")
+    given = pictures(spark, sf).select("nm", path, "image.height", "image.width", "image.data")
+
+    def written(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                write_png(row["image_path"], row["height"], row["width"], row["data"])
+            yield batch.select(["nm"])
+
+    given.where("nm % 9 <> 4").mapInArrow(written, "nm long").count()
+    images = decode_images(read_listed_files(given, slice_files=300))
+    return images.select("nm", "missing", "image.height", "image.width", F.hex("image.data").alias("pixels"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +14,7 @@ from shelfvec.operators import resize as Z
 from shelfvec.operators import similarity as S
 from shelfvec.operators.joins import gather
 from shelfvec.plans.embedding import embed_catalog, store_embeddings
+from shelfvec.sources.image_files import decode_images, read_listed_files
 from shelfvec.sources.images import read_images, read_listed_images
 from shelfvec.sources.vectors import read_bucketed, read_vectors, write_bucketed
 from suite.onnx_model import matmul_model, weight
@@ -205,6 +207,44 @@ def test_stray_and_unlisted_files(spark, image_dir, tmp_path):
     assert read_listed_images(listed.where("false")).count() == 0
 
 
+def test_listed_files_by_slices_of_the_list(spark, image_dir, plan_of):
+    """No folder is listed; missing files are flagged; PNG pixels equal the image source's."""
+    paths = [f"{image_dir}/1.png", f"file://{image_dir}/3.png", f"{image_dir}/3.png", f"{image_dir}/9.png", f"{image_dir}/4.jpg", f"{image_dir}/2.jpg", None]
+    listed = spark.createDataFrame([(p,) for p in paths], "image_path string")
+    files = read_listed_files(listed, slice_files=2)
+    assert files.rdd.getNumPartitions() >= 2 and "FileScan" not in plan_of(files)
+    got = {r.path: r for r in files.collect()}
+    assert set(got) == set(paths) - {None}
+    assert {p for p, r in got.items() if r.missing} == {f"{image_dir}/9.png"}
+    assert got[paths[0]].content == Path(paths[0]).read_bytes() and got[paths[3]].content is None
+    images = decode_images(files)
+    known = {r.nm: r.image for r in read_images(spark, image_dir).collect()}
+    for r in images.collect():
+        shape = (r.image.height, r.image.width, r.image.nChannels, r.image.mode, r.image.data)
+        want = known[r.nm] if r.nm in (1, 3) else None
+        assert shape == (tuple(want[1:]) if want else (-1, -1, -1, -1, b"")) and r.missing == (r.nm == 9)
+    shrunk = Z.resize_images(images.where("nm = 1").select("nm", "image"), (16, 16)).first()
+    assert (shrunk.width, shrunk.height) == (16, 8)
+    assert read_listed_files(listed.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("kind", [1, 2, 5, 6, 10, 13])
+def test_png_kinds_equal_the_image_source(spark, tmp_path, kind):
+    """Grey, indexed, colour with and without alpha, with noise that makes the encoder use its filters."""
+    java = spark.sparkContext._jvm
+    image = java.java.awt.image.BufferedImage(23, 17, kind)
+    draw = random.Random(kind)
+    for y in range(17):
+        for x in range(23):
+            image.setRGB(x, y, (255 << 24 | (x * 9 << 16) | (y * 13 << 8) | draw.randrange(60)) - (1 << 32))
+    java.javax.imageio.ImageIO.write(image, "png", java.java.io.File(str(tmp_path / "5.png")))
+    data = (tmp_path / "5.png").read_bytes()
+    want = read_images(spark, str(tmp_path)).first().image
+    got = X.png_pixels(data)
+    np.testing.assert_array_equal(X.rgb_array(*got.shape, np.ascontiguousarray(got).tobytes()), X.rgb_array(want.height, want.width, want.nChannels, want.data))
+    assert X.png_pixels(b"") is None and X.png_pixels(data[:20]) is None and X.png_pixels(b"GIF89a") is None
+
+
 def test_pictures_are_never_broadcast(spark, image_dir, plan_of):
     manifest = spark.createDataFrame([(1,)], "nm long")
     plan = plan_of(Z.complete_images(manifest, Z.resize_images(read_images(spark, image_dir))))
