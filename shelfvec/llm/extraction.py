@@ -15,6 +15,7 @@ one row per task and path.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -27,14 +28,17 @@ from pyspark.sql import types as T
 from shelfvec.sources.scratch import materialize
 from shelfvec.sources.shipping import ensure_shipped
 
+#: A tag's attributes by the rules of HTML: a value without quotes may hold quotes, and
+#: a quote that is never closed is part of such a value.
+ATTRIBUTES = r"(?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 #: Elements that never hold main text.
@@ -46,8 +50,12 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "blockquote", "
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body"}
-#: Words in a class, id or role that mark furniture.
-MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "masthead", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "discussion", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "alert", "skip", "complementary", "contentinfo", "dialog", "teaser", "paywall"}
+#: Words that mark furniture wherever they stand in a class, id or role.
+MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "sidebar", "related", "recommended", "share", "sharing", "comment", "comments", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "toolbar", "pagination", "pager", "copyright", "disclaimer", "complementary", "contentinfo", "paywall"}
+#: Words that do so only as what a name is about: "search-box", but not "search-results" or "legal-news".
+WEAK_MARKS = {"promo", "promotion", "banner", "menu", "header", "aside", "widget", "social", "reply", "discussion", "notice", "notices", "subscription", "signup", "login", "form", "search", "legal", "alert", "skip", "dialog", "teaser"}
+#: Words after one that say nothing about the content.
+NEUTRAL = {"area", "bar", "block", "body", "box", "buttons", "col", "column", "container", "group", "holder", "icons", "inner", "item", "items", "link", "links", "list", "outer", "panel", "row", "section", "slot", "text", "unit", "wrap", "wrapper", "zone"}
 #: Of these an article's own head or title may carry the word.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "body", "html"}
 #: Words before a mark that speak of the page's layout, as in "has-sidebar".
@@ -57,20 +65,58 @@ WORDS_IN_NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "furniture", "text", "linked", "order", "blocks", "children")
+    """An open or closed element; ``block`` is the nearest block around it, ``key`` stands for its path."""
 
-    def __init__(self, tag: str, path: str, parent: Node | None, furniture: bool):
-        self.tag, self.path, self.parent, self.furniture = tag, path, parent, furniture
+    __slots__ = ("tag", "step", "key", "parent", "block", "furniture", "text", "linked")
+
+    def __init__(self, tag: str, step: str, parent: Node | None, furniture: bool):
+        self.tag, self.step, self.parent, self.furniture = tag, step, parent, furniture
+        self.block = None if parent is None else parent if parent.tag in BLOCKS else parent.block
+        self.key = next_key(parent.key if parent else b"", step) if step else parent.key
         self.text = self.linked = 0
-        self.children: list[Node] = []
+
+    @property
+    def path(self) -> str:
+        """Tags and classes of the blocks from the root; built only for the few nodes that need it."""
+        steps, at = [], self
+        while at is not None:
+            if at.step:
+                steps.append(at.step)
+            at = at.parent
+        return ">".join(reversed(steps))
+
+
+def next_key(key: bytes, step: str) -> bytes:
+    return hashlib.blake2b(key + step.encode(errors="surrogatepass"), digest_size=12).digest()
+
+
+def path_key(path: str | None) -> bytes | None:
+    if path is None:
+        return None
+    key = b""
+    for step in path.split(">"):
+        key = next_key(key, step)
+    return key
 
 
 def general_class(names: str) -> str:
     """Classes in order of the alphabet, digits as one sign."""
-    return ".".join(sorted({re.sub(r"\d+", "#", n) for n in names.lower().split()}))
+    return ".".join(sorted({re.sub(r"\d+", "#", n) for n in names.lower().replace(">", "").split()}))
+
+
+def marks_furniture(name: str) -> bool:
+    """Whether a class, id or role names furniture, by its words or by its last word that tells."""
+    found = WORDS_IN_NAME.findall(name)
+    if LAYOUT.intersection(found):
+        return False
+    if any(w in MARKS for w in found):
+        return True
+    telling = [w for w in found if w not in NEUTRAL]
+    return bool(telling) and telling[-1] in WEAK_MARKS
 
 
-def is_furniture(tag: str, named: dict[str, str]) -> bool:
+def is_furniture(tag: str, named: dict[str, str], marks: bool = True) -> bool:
+    """Whether an element never holds main text; without ``marks`` its names do not count."""
     if tag in FURNITURE:
         return True
     if "hidden" in named or named.get("aria-hidden") == "true":
@@ -79,14 +125,30 @@ def is_furniture(tag: str, named: dict[str, str]) -> bool:
         return True
     if tag in HEADINGS:
         return False
-    words = " ".join(named.get(k, "") for k in ("class", "id", "role")).lower()
-    found = WORDS_IN_NAME.findall(words)
-    return any(w in MARKS for w in found) and not LAYOUT.intersection(found)
+    if not marks:
+        return False
+    names = [n for k in ("class", "id", "role") for n in named.get(k, "").lower().split()]
+    if any(LAYOUT.intersection(WORDS_IN_NAME.findall(n)) for n in names):
+        return False
+    return any(marks_furniture(n) for n in names)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Containers of a page, and its blocks of text with the element around each.
 
+    Where names alone would leave no unlinked text, they do not count.
+    """
+    nodes, blocks = parse_with(page, True)
+    if not any(n.text > n.linked for n in nodes):
+        plain = parse_with(page, False)
+        if any(n.text > n.linked for n in plain[0]):
+            return plain
+    return nodes, blocks
+
+
+def parse_with(page: str, marks: bool) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """The same for a given reading of classes, ids and roles.
+
     Furniture is walked over: its text is not kept. Tags may be missing or
     crossed; an end tag closes up to its element if that is open, else nothing.
     """
@@ -97,6 +159,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     owner = [root]
     links = 0
     hidden = 0
+    # Open elements by tag, so that an end tag without a partner costs nothing.
+    opened: dict[str, int] = {"html": 1}
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(buffer)).strip()
@@ -107,6 +171,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     def pop() -> None:
         nonlocal links, hidden
         node = stack.pop()
+        opened[node.tag] -= 1
         if node.tag == "a":
             links -= 1
         if node.furniture:
@@ -119,9 +184,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             return
         if not buffer:
             at = stack[-1]
-            while at.tag not in BLOCKS and at.parent is not None:
-                at = at.parent
-            owner[0] = at
+            owner[0] = at if at.tag in BLOCKS or at.block is None else at.block
         text = html.unescape(raw) if "&" in raw else raw
         buffer.append(text)
         size = len(text.strip())
@@ -147,14 +210,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         tag = tag.lower()
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        pop()
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush()
+            if opened.get(tag) and (tag != "html" or opened[tag] > 1):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
+            elif tag in ("p", "br"):
+                flush()
             continue
         if tag in ("br", "hr"):
             flush()
@@ -163,7 +224,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag in CLOSES_P or tag in SAME:
             closes = ({"p"} if tag in CLOSES_P else set()) | SAME.get(tag, set())
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened.get(c) for c in closes) else ():
                 if stack[depth].tag in closes:
                     while len(stack) > depth:
                         pop()
@@ -179,20 +240,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 for m in ATTRIBUTE.finditer(attributes)
             }
         parent = stack[-1]
-        if tag in ("html", "body") and tag in (n.tag for n in stack):
+        if tag in ("html", "body") and opened.get(tag):
             continue
-        furniture = is_furniture(tag, named)
-        path = parent.path
+        furniture = is_furniture(tag, named, marks)
+        step = ""
         if tag in BLOCKS:
             classes = general_class(named.get("class", ""))
-            path = f"{path}>{tag}" + (f".{classes}" if classes else "")
+            step = tag + (f".{classes}" if classes else "")
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*/?>", re.I).search(page, position)
             position = end.end() if end else size
             if furniture:
                 flush()
             continue
-        node = Node(tag, path, parent, furniture)
+        node = Node(tag, step, parent, furniture)
+        opened[tag] = opened.get(tag, 0) + 1
         if furniture:
             flush()
             hidden += 1
@@ -218,9 +280,7 @@ def scored(nodes: list[Node]) -> dict[int, float]:
     for node in reversed(nodes):
         own = sums.get(id(node), 0.0) + node.text - node.linked
         sums[id(node)] = own
-        at = node.parent
-        while at is not None and at.tag not in BLOCKS:
-            at = at.parent
+        at = node.block
         if at is not None:
             weight = 0.9 if node.tag in CONTAINERS else 1.0
             sums[id(at)] = sums.get(id(at), 0.0) + weight * own
@@ -248,7 +308,8 @@ def text_on(page: str | None, path: str | None, least_share: float = 0.3) -> str
     nodes, blocks = parse(page)
     scores = scored(nodes)
     best = max((n for n in nodes if n.tag in CONTAINERS or n.parent is None), key=lambda n: scores[id(n)])
-    chosen = {id(n) for n in nodes if n.path == path}
+    key = path_key(path)
+    chosen = {id(n) for n in nodes if n.key == key}
     if not chosen or sum(scores[c] for c in chosen) < least_share * scores[id(best)]:
         chosen = {id(best)}
     inside: dict[int, bool] = {}
@@ -327,5 +388,6 @@ def main_texts(pages: DataFrame, html_col: str = "html", url_col: str = "url", t
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
+    """The registered query: each page's main text and its length; nulls and repeats as in ``main_texts``."""
     found = main_texts(pages.select("page_id", "url", "html"), text_col="text")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,0 +1,124 @@
+"""Extraction: HTML's rules for tags, names that mark furniture, deep pages, and a second parser."""
+
+from __future__ import annotations
+
+import re
+import time
+import tracemalloc
+from html.parser import HTMLParser
+
+import pytest
+
+from shelfvec.llm import extraction as X
+from tests.llm.test_corpus import LONG, page
+
+
+def text_of(html):
+    cast = X.vote(html)
+    return X.text_on(html, cast[0] if cast else None)
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["<p data-x=it's>", '<p class="x>', "<p class='x>", "<p a=b\"c d='e'>", "<p =x / y=>", "<p title='a > b' id=\"c>d\">", "<p\n  a = b\n>", "<p a=\"b\"c='d'e>", "<p '>", '<p ">'],
+)
+def test_attributes_by_the_rules_of_html(tag):
+    assert text_of(page(f"<article>{tag}{LONG}</p></article>")) == LONG
+    assert text_of(page(f"<article><p>{LONG}</p>{tag}Next.</article>")) == f"{LONG}\nNext."
+
+
+def test_an_open_quote_takes_what_follows_up_to_its_partner():
+    assert text_of(page(f"<article><p>{LONG}<p class=\"x>swallowed<p id=\">Seen.</article>")) == f"{LONG}\nSeen."
+
+
+def test_names_that_only_sound_like_furniture():
+    for name in ("legal-news", "form-guide", "search-results", "notice-board-history", "header-story", "menu-recipes"):
+        assert text_of(page(f"<div class='{name}'><p>{LONG}</p></div>")) == LONG, name
+        assert text_of(page(f"<div class='story'><p>{LONG}</p></div><div class='{name}'><p>{LONG * 2}</p></div>")) != LONG, name
+    for name in ("cookie-notice", "search-box", "login-form-inner", "top-banner", "comment-list", "ad-slot-3", "related-posts", "site-header", "legal"):
+        html = page(f"<div class='story'><p>{LONG}</p><div class='{name}'><p>{LONG * 3}</p></div></div>")
+        assert text_of(html) == LONG, name
+
+
+def test_a_page_whose_only_text_is_marked_keeps_it():
+    for name in ("sidebar", "comments", "footer", "legal", "form"):
+        assert text_of(page(f"<nav><a href='/'>Home</a></nav><div class='{name}'><p>{LONG}</p></div>")) == LONG
+    assert text_of(page("<nav><a href='/'>Home</a></nav><footer>Foot</footer>")) == ""
+
+
+def test_deep_and_crooked_pages_take_linear_time_and_memory():
+    tracemalloc.start()
+    start = time.process_time()
+    deep = "<div class=a>" * 50_000 + f"<p>{LONG}</p>"
+    assert text_of(page(deep)) == LONG
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert text_of(page("<b>" * 30_000 + f"<p>{LONG}</p>" + "</i></u>" * 30_000)) == LONG
+    assert text_of(page("<article>" + f"<p class='n1'>{LONG}" * 20_000)).count("\n") == 19_999
+    assert time.process_time() - start < 120
+
+
+class Plain(HTMLParser):
+    """Blocks of an article by the standard library's parser; hidden parts by tag and plain names."""
+
+    OFF = {"nav", "header", "footer", "aside", "script", "style", "form", "title", "head"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.buffer = [], [], ""
+
+    def off(self):
+        return any(o for _, o in self.stack)
+
+    def flush(self):
+        text = re.sub(r"\s+", " ", self.buffer).strip()
+        if text:
+            self.blocks.append(([t for t, _ in self.stack], text))
+        self.buffer = ""
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag in X.BLOCKS or tag in self.OFF:
+            self.flush()
+        while self.stack and self.stack[-1][0] in ("p", "li") and tag in ("p", "li", "div", "h2", "ul") and self.stack[-1][0] != ("li" if tag == "ul" else ""):
+            if self.stack[-1][0] == "li" and tag in ("p", "div"):
+                break
+            self.flush()
+            self.stack.pop()
+        if tag not in X.VOID:
+            names = " ".join(str(named.get(k) or "") for k in ("class", "id", "role"))
+            self.stack.append((tag, tag in self.OFF or X.is_furniture(tag, {k: v or "" for k, v in attrs}) or "advert" in names))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            if tag in X.BLOCKS or tag in self.OFF:
+                self.flush()
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.off():
+            self.buffer += data
+
+    def close(self):
+        super().close()
+        self.flush()
+
+
+def test_every_page_of_the_table_against_a_second_parser(spark):
+    """All blocks outside furniture are the same; the main text is a run of them, without markup."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    texts = {r.page_id: r.text for r in X.page_texts(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert len(texts) == len(pages)
+    same = 0
+    for row in pages:
+        plain = Plain()
+        plain.feed(row.html)
+        plain.close()
+        want = [text for _, text in plain.blocks]
+        _, blocks = X.parse(row.html)
+        same += [text for _, text in blocks] == want
+        text = texts[row.page_id]
+        assert text and not re.search(r"</?[a-z]+[ >]", text)
+        assert set(text.split("\n")) <= set(want)
+    assert same == len(pages)
