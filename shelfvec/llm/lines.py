@@ -124,7 +124,8 @@ def drop_spread_lines(
         F.col(text_col).alias("_text"),
     )
     same = keyed["_doc"].eqNullSafe(cut["_cut_doc"]) & (keyed["_digest"] == cut["_cut_digest"])
-    joined = keyed.join(cut, same, "left")
+    # Cuts grow with the documents: the same plan, a merge, at any size.
+    joined = keyed.join(cut.hint("merge"), same, "left")
     text = F.col("_text")
     kept = F.filter(_lines_of(text), lambda _, i: ~F.array_contains("_cut", i))
     if max_share is None:

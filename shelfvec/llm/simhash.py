@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfvec.llm.components import components
 from shelfvec.llm.words import ascii_lower, words_of
+from shelfvec.operators.components import components
 from shelfvec.sources.scratch import materialize
 from shelfvec.sources.shipping import ensure_shipped
 
@@ -308,6 +308,37 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one_of_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """One document of each component of close fingerprints, the one with the smallest id.
+
+    Fingerprints and links as in ``fingerprint_components``; a null or empty text
+    has fingerprint zero and is linked like any other. Among rows of one id the
+    first stored stays; null ids come last. Columns of any names pass through.
+    An empty table gives an empty table. Texts are stored once; the rows that
+    stay come back to them by number.
+    """
+    wrapped = docs.select(
+        F.struct(*docs.columns).alias("_in"),
+        F.col(id_col).alias("_id"),
+        F.coalesce(text_col, F.lit("")).alias("_text"),
+    )
+    marked = materialize(fingerprints(wrapped, "_text", shingle, drop_text=True), "marked")
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "row")
+    values = materialize(marked.groupBy("fp").agg(F.min(place).alias("place")), "fingerprints")
+    links = materialize(close_links(values.select("fp"), max_bits), "links")
+    roots = materialize(components(links), "roots")
+    stays = (
+        values.join(roots, values["fp"] == roots["node"], "left")
+        .groupBy(F.coalesce("root", values["fp"]))
+        .agg(F.min("place").alias("place"))
+        .select(F.col("place.row").alias("row"))
+    )
+    # Those that stay grow with the documents: the same plan, a merge, at any size.
+    return marked.join(materialize(stays, "stays").hint("merge"), "row", "left_semi").select("_in.*")
+
+
 LINK = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 

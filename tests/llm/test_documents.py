@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfvec.llm import contamination, fertility, lines, pieces, simhash
-from shelfvec.llm.components import components
+from shelfvec.operators.components import components
 from tests.llm.conftest import prose, rows_of
 
 
@@ -198,6 +198,17 @@ def test_one_of_copies(awkward, awkward_texts):
     assert Counter(got) == Counter(min(g)[1] for g in groups.values())
 
 
+def test_one_of_component(awkward, awkward_texts):
+    """The pipeline's stage: the smallest id of each component of close fingerprints."""
+    kept = simhash.keep_one_of_component(awkward)
+    assert kept.columns == awkward.columns
+    rows = rows_of(awkward_texts)
+    groups = defaultdict(list)
+    for label, r in zip(component_truth([simhash.fingerprint(r[1]) for r in rows]), rows, strict=True):
+        groups[label].append((r[0] is None, r[0]))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min(g)[1] for g in groups.values())
+
+
 def least_of_copies(texts):
     """Of each component over five-word shingle sets at 0.8 the smallest number, by brute force."""
     split = [t.lower().split() for t in texts]
@@ -385,20 +396,8 @@ def test_pipeline_against_plain_steps(spark):
     rows = [tuple(r) for r in docs.join(verdicts, "doc_id").select("doc_id", "text", "lang", "source").orderBy("doc_id").collect()]
     texts = dict(zip([r[0] for r in rows], line_truth(rows), strict=True))
 
-    def grams(text):
-        words = text.encode().lower().split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    sets, kept = {i: grams(t) for i, t in texts.items()}, []
-    label = {i: i for i in texts}
-    changed = True
-    while changed:
-        changed = False
-        for a in texts:
-            for b in texts:
-                if label[a] < label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    label[b], changed = label[a], True
-    kept = sorted(set(label.values()))
+    labels = component_truth([simhash.fingerprint(t) for t in texts.values()])
+    kept = sorted({label: i for label, i in reversed(list(zip(labels, texts, strict=True)))}.values())
     items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     parts = [contamination.question_and_answer(t, 5) for t in items]
     library = pieces.PieceCodec(pieces.model_path()).library
@@ -411,7 +410,7 @@ def test_pipeline_against_plain_steps(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("make", [fertility.quality_verdicts, lines.line_digests, simhash.fingerprint_components, simhash.keep_one_of_copies, fertility.keep_good])
+@pytest.mark.parametrize("make", [fertility.quality_verdicts, lines.line_digests, simhash.fingerprint_components, simhash.keep_one_of_copies, simhash.keep_one_of_component, fertility.keep_good])
 def test_empty_tables(nothing, make):
     assert make(nothing).count() == 0
 
