@@ -9,11 +9,11 @@ work is spread over hash buckets:
    equal anchors. Batches of documents ask the buckets which of their anchors
    occur elsewhere.
 2. Around the anchors that do, batches send the bytes of the windows they
-   anchor. In its bucket each batch's suffixes become a sorted array of
-   (prefix, first place); arrays of like size are merged geometrically, so a
-   family of levels with few arrays holds all that came before. Batches are
-   scanned against the levels: a suffix whose prefix has an earlier place is a
-   match.
+   anchor. In its bucket one batch after another becomes a sorted array of
+   (prefix, first place), which is scanned against the levels that hold all
+   that came before: of two places of one prefix the later is a match. Then it
+   is a level itself, and levels of like size are merged, linearly. Matches are
+   compared byte by byte.
 3. Batches get their matches back and cut the bytes they cover.
 
 A batch sends equal surroundings once, so a text with a third of all copies
@@ -38,6 +38,8 @@ FRAGMENT = 32
 SLICE = 1 << 20
 BATCH_BYTES = 3 << 20
 BUCKET_BYTES = 3 << 20
+#: Windows that make a new batch of a family.
+FAMILY_WINDOWS = 1 << 17
 
 _draw = np.random.default_rng(20)
 #: Fixed random 64-bit values of bytes, for fragments and for windows.
@@ -159,26 +161,52 @@ def _runs_to_positions(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class SuffixFamily:
-    """Sorted arrays of (prefix digest, first place), merged when of like size."""
+    """Sorted arrays of (prefix, place), each prefix with its first place, merged when of like size.
+
+    A new array is scanned against the levels before it joins them. Of two
+    places of one prefix the later one is a match, whichever came in first.
+    """
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _sorted(prefixes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((places, prefixes))
-        prefixes, places = prefixes[order], places[order]
-        new = np.ones(len(prefixes), dtype=bool)
-        new[1:] = prefixes[1:] != prefixes[:-1]
-        return prefixes[new], places[new]
-
-    def add(self, prefixes: np.ndarray, places: np.ndarray) -> None:
-        self.levels.append(self._sorted(prefixes, places))
+    def _firsts(prefixes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted prefixes one each, with its least place."""
+        heads = np.flatnonzero(np.concatenate([[True], prefixes[1:] != prefixes[:-1]])) if len(prefixes) else np.empty(0, "int64")
+        return prefixes[heads], np.minimum.reduceat(places, heads) if len(heads) else places
+
+    def _merged(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Two levels as one; a stable sort of two sorted runs is one linear merge."""
+        prefixes = np.concatenate([a[0], b[0]])
+        order = np.argsort(prefixes, kind="stable")
+        return self._firsts(prefixes[order], np.concatenate([a[1], b[1]])[order])
+
+    def add(self, prefixes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scan a batch against the levels and then make it one.
+
+        Returns which of its suffixes have an earlier place in the batch or in a
+        level, and the places in levels that turned out later than one of the batch.
+        """
+        order = np.argsort(prefixes, kind="stable")
+        new, at = self._firsts(prefixes[order], places[order])
+        later = np.zeros(len(new), dtype=bool)
+        displaced = []
+        for have, seen in self.levels:
+            found = np.minimum(np.searchsorted(have, new), len(have) - 1)
+            same = np.flatnonzero(have[found] == new)
+            other = seen[found[same]]
+            before = other < at[same]
+            later[same[before]] = True
+            displaced.append(other[~before])
+        # Every suffix but the first of its prefix is later than that one.
+        whose = np.searchsorted(new, prefixes)
+        matched = later[whose] | (places != at[whose])
+        self.levels.append((new, at))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(
-                self._sorted(np.concatenate([b[0], a[0]]), np.concatenate([b[1], a[1]]))
-            )
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._merged(a, b))
+        return matched, np.concatenate([*displaced, np.empty(0, "int64")]).astype("int64")
 
     def first_places(self, prefixes: np.ndarray) -> np.ndarray:
         """The first place of each prefix over all levels."""
@@ -194,6 +222,65 @@ class SuffixFamily:
         return first
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether ``length`` bytes from each pair of positions are equal, eight at a time."""
+    words = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    same = np.ones(len(a), dtype=bool)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        same &= words[a + at] == words[b + at]
+    return same
+
+
+class BucketMatches:
+    """Which windows of one bucket have an earlier place, over its batches in turn."""
+
+    def __init__(self, length: int, digest=span_digests):
+        self.length, self.digest = length, digest
+
+    def of(self, runs: list[tuple[bytes, np.ndarray, np.ndarray]], chunk: int) -> list[np.ndarray]:
+        """``runs`` are each question's bytes, windows per run, and places of the runs' first windows.
+
+        Questions are taken together until they have ``chunk`` windows; these
+        are a batch of the family.
+        """
+        length = self.length
+        data = np.frombuffer(b"".join(r[0] for r in runs), "u1")
+        count = np.concatenate([r[1] for r in runs]).astype("int64")
+        heads = np.cumsum(count + length - 1) - (count + length - 1)
+        start = _runs_to_positions(heads, count)
+        place = np.repeat(np.concatenate([r[2] for r in runs]) - heads, count) + start
+        sizes = np.array([int(r[1].sum(dtype="int64")) for r in runs])
+        ends = np.cumsum(sizes)
+        family, matched, prefixes, displaced = SuffixFamily(), np.zeros(len(start), dtype=bool), np.empty(len(start), "u8"), []
+        at = 0
+        for end in ends.tolist():
+            if end - at >= chunk or end == len(start) and end > at:
+                part = slice(at, end)
+                prefixes[part] = self.digest(data, start[part], start[part] + length)
+                matched[part], moved = family.add(prefixes[part], place[part])
+                displaced.append(moved)
+                at = end
+        order = np.argsort(place, kind="stable")
+        moved = np.concatenate([*displaced, np.empty(0, "int64")])
+        matched[order[np.searchsorted(place[order], moved)]] = True
+        # Digests only led here: each match is compared with the first place of its prefix.
+        hits = np.flatnonzero(matched)
+        first = order[np.searchsorted(place[order], family.first_places(prefixes[hits]))]
+        if not same_bytes(data, start[hits], start[first], length).all():
+            matched = self._by_bytes(data, start, order)
+        return np.split(matched, ends[:-1])
+
+    def _by_bytes(self, data: np.ndarray, start: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The same by the strings themselves, for a bucket in which two share a digest."""
+        whole, seen = data.tobytes(), set()
+        matched = np.zeros(len(start), dtype=bool)
+        for i in order.tolist():
+            part = whole[start[i] : start[i] + self.length]
+            matched[i] = part in seen
+            seen.add(part)
+        return matched
+
+
 class Surroundings:
     """The distinct runs of a batch whose anchors occur again, and their copies."""
 
@@ -239,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     comes before all others. A null text is empty. Repeated rows are copies like
     any other. An empty table gives an empty table; other columns are not read.
 
-    Digests have 64 bits and are compared within a bucket only.
+    Digests lead to matches within a bucket; the matches' bytes are compared.
     """
     if length <= FRAGMENT:
         raise ValueError(f"strings must be longer than {FRAGMENT} bytes")
@@ -286,7 +373,6 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     def matches(asked: list) -> tuple[list, object]:
         if not isinstance(asked[0], tuple):
             return asked, None  # the batches' own notes
-        family = SuffixFamily()
         docs_of = np.concatenate([q[2] for q in asked])
         batch_of = np.repeat(np.arange(len(asked)), [len(q[2]) for q in asked])
         places = np.lexsort(
@@ -294,18 +380,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         )
         rank = np.empty(len(places), dtype="int64")
         rank[places] = np.arange(len(places))
-        parts, done = [], 0
-        for data, count, ids, _, _ in asked:
-            count = count.astype("int64")
-            heads = np.cumsum(count + length - 1) - (count + length - 1)
-            start = _runs_to_positions(heads, count)
-            prefixes = span_digests(np.frombuffer(data, "u1"), start, start + length)
-            offset = start - np.repeat(heads, count)
-            place = np.repeat(rank[done : done + len(ids)], count) * length + offset
-            done += len(ids)
-            family.add(prefixes, place)
-            parts.append((prefixes, place))
-        return [np.packbits(family.first_places(p) < x) for p, x in parts], None
+        cuts = np.cumsum([len(q[2]) for q in asked])[:-1]
+        runs = [(q[0], q[1], r * length) for q, r in zip(asked, np.split(rank, cuts), strict=True)]
+        return [np.packbits(x) for x in BucketMatches(length).of(runs, FAMILY_WINDOWS)], None
 
     asked = B.ask(first_answers, surroundings)
     matched = B.answer(asked, buckets, matches, "matches")
