@@ -67,9 +67,16 @@ def unpack(data: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def pack_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, level: int = 3) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    batch_bytes: int = BATCH_BYTES,
+    level: int = 3,
+    prepare: Callable[[list[bytes]], object] | None = None,
+) -> DataFrame:
     """``doc_id, text`` as batches, stored in the shared folder.
 
+    With ``prepare``, what it makes of a batch's texts is stored in their place.
+
     A batch holds whole documents in the order of the input's partitions and is
     compressed. Stored once, its content never changes, so questions and
     answers match however often a task runs.
@@ -81,8 +88,9 @@ def pack_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, level: int =
         ids, texts, size = [], [], 0
 
         def packed() -> pa.RecordBatch:
+            held = prepare(texts) if prepare else texts
             return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([size]), pa.array([pack((ids, texts), level)], pa.binary())],
+                [pa.array([number]), pa.array([size]), pa.array([pack((ids, held), level)], pa.binary())],
                 names=PACKED.names,
             )
 

@@ -1,12 +1,16 @@
 """Scores of texts under a class-based bigram model of their words.
 
 Words have classes, and P(word | word before) is P(class | class before) times
-P(word | class). Exchange clustering puts units into classes: each of the
-``frequent`` most frequent words is a unit of its own, and rarer or unknown
-words are one unit for each form of ending. The counts of all words of all
-training texts stay distributed over hash buckets and come back to the batches
-of documents that hold the words. Only what the model's size bounds, the
-pairs of units, is gathered for the clustering.
+P(word | class). Exchange clustering puts words into classes in two steps. The
+``frequent`` most frequent words and, for all others, the forms of their endings
+are units whose pairs the model's size bounds; they are exchanged one by one on
+the driver, which fixes the classes. Then every word that training texts hold
+``least_count`` times is exchanged by itself, in rounds that are Spark jobs: the
+counts of the classes around it meet in its hash bucket, all words are moved
+against the same class tables, and the tables are counted anew. How many words
+that are grows with the corpus, and neither they nor their counts leave the
+buckets and batches; class tables alone are sent to the tasks. Rarer and unknown
+words keep the class of their ending.
 """
 
 from __future__ import annotations
@@ -28,15 +32,21 @@ ENDINGS = 512
 #: The token after each text's words. No word has a space.
 END = b" "
 BUCKET_BYTES = 64 << 20
+#: Words of a bucket whose classes are chosen at a time.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
 class ClassModel:
-    #: Words that are units of their own: so many at most, each of that share of all tokens at least.
+    #: Words that fix the classes: so many at most, each of that share of all tokens at least.
     frequent: int = 1500
     frequent_share: float = 2e-5
+    #: Training tokens from which on any other word is exchanged by itself.
+    least_count: int = 10
     classes: int = 48
     rounds: int = 5
+    #: Rounds of exchange over all words of that count, one at least.
+    wide_rounds: int = 1
     add: float = 0.1
     prior: float = 1.0
 
@@ -56,26 +66,6 @@ def ending_of(data: bytes) -> int:
     return 1 + zlib.crc32(f"{kind} {bare[-2:]} {rest}".encode()) % (ENDINGS - 1)
 
 
-class Tokens:
-    """Words of a batch of texts as numbers of its distinct words."""
-
-    def __init__(self, texts: list[bytes]):
-        numbers: dict[bytes, int] = {END: 0}
-        new = numbers.setdefault
-        self.of: list[np.ndarray] = []
-        for data in texts:
-            found = [new(w, len(numbers)) for w in words(data)]
-            found.append(0)
-            self.of.append(np.array(found, dtype="int64"))
-        self.words = list(numbers)
-
-    def keys(self) -> np.ndarray:
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
-        return np.array([digest(w) for w in self.words], dtype="u8")
-
-
 def words(data: bytes) -> list[bytes]:
     """Words of UTF-8 text after A-Z went to lower case.
 
@@ -84,8 +74,46 @@ def words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """Texts of a batch, one after another, as numbers of its distinct words; END is number 0."""
+
+    flat: np.ndarray
+    lengths: np.ndarray
+    keys: np.ndarray
+    endings: np.ndarray
+
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.lengths)[:-1])
+
+    def in_training(self, ids: list) -> np.ndarray:
+        """The tokens of texts that are not held out."""
+        return self.flat[np.repeat([not is_held_out(i) for i in ids], self.lengths)]
+
+
+def tokens_of(texts: list[bytes]) -> Tokens:
+    import xxhash
+
+    numbers: dict[bytes, int] = {END: 0}
+    new = numbers.setdefault
+    parts = []
+    for data in texts:
+        found = [new(w, len(numbers)) for w in words(data)]
+        found.append(0)
+        parts.append(np.array(found, dtype="i4"))
+    digest = xxhash.xxh3_64_intdigest
+    return Tokens(
+        np.concatenate(parts),
+        np.array([len(x) for x in parts]),
+        np.array([digest(w) for w in numbers], dtype="u8"),
+        np.array([ending_of(w) for w in numbers], dtype="u2"),
+    )
+
+
 def _asked(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its keys, in order."""
+    if not len(keys):
+        return
     bucket = B.bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -148,6 +176,34 @@ def exchange_classes(pairs: np.ndarray, model: ClassModel) -> np.ndarray:
     return own
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the classes with these pair counts, but for a constant of the words."""
+
+    def f(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1))).sum())
+
+    return f(table) - f(table.sum(axis=0)) - f(table.sum(axis=1))
+
+
+def best_classes(around: np.ndarray, table: np.ndarray, prior: float = 1.0) -> np.ndarray:
+    """The class that makes each word's neighbours and itself likeliest; of equals the least.
+
+    ``around[w]`` counts the classes before the word, then those after it;
+    ``table[a, b]`` counts class b after a and is the same for all words.
+    """
+    k = len(table)
+    shares = (table.sum(axis=0) + prior / k) / (table.sum() + prior)
+    step = np.log((table + prior * shares) / (table.sum(axis=1, keepdims=True) + prior))
+    size = np.log(table.sum(axis=0) + prior)
+    own = np.empty(len(around), dtype="i2")
+    for at in range(0, len(around), CHUNK):
+        before, after = np.hsplit(around[at : at + CHUNK].astype("f8"), 2)
+        times = np.maximum(before.sum(axis=1), after.sum(axis=1))
+        gain = before @ step + after @ step.T - times[:, None] * size
+        own[at : at + CHUNK] = gain.argmax(axis=1)
+    return own
+
+
 def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
     """Base and class-model scores of every whole text of ``doc_id, text``.
 
@@ -157,30 +213,26 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
     """
     rule = model or ClassModel()
     spark = docs.sparkSession
-    packed = B.pack_documents(docs)
+    packed = B.pack_documents(docs, prepare=tokens_of)
     buckets = B.bucket_count(packed, BUCKET_BYTES)
 
-    def questions(ids: list, texts: list[bytes], _: dict) -> Iterator[tuple[int, object]]:
-        tokens = Tokens(texts)
-        keys = tokens.keys()
-        counts = np.zeros(len(keys), dtype="int64")
-        for doc_id, found in zip(ids, tokens.of, strict=True):
-            if not is_held_out(doc_id):
-                np.add.at(counts, found, 1)
-        endings = np.array([ending_of(w) for w in tokens.words], dtype="u2")
-        for bucket, at in _asked(keys, buckets):
-            yield bucket, (keys[at], counts[at].astype("u4"), endings[at])
+    def questions(ids: list, tokens: Tokens, _: dict) -> Iterator[tuple[int, object]]:
+        counts = np.bincount(tokens.in_training(ids), minlength=len(tokens.keys))
+        for bucket, at in _asked(tokens.keys, buckets):
+            yield bucket, (tokens.keys[at], counts[at].astype("u4"), tokens.endings[at])
 
     def respond(asked: list) -> tuple[list, object]:
         keys = np.concatenate([q[0] for q in asked])
         distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.zeros(len(distinct), dtype="int64")
-        np.add.at(totals, at, np.concatenate([q[1] for q in asked]).astype("int64"))
+        totals = np.bincount(at, np.concatenate([q[1] for q in asked])).astype("int64")
         endings = np.concatenate([q[2] for q in asked])[first]
         known = totals > 0
+        rare = known & (totals < rule.least_count)
         top = np.argsort(-totals, kind="stable")[: rule.frequent]
         top = top[known[top]]
         found = (
+            np.bincount(endings[rare], minlength=ENDINGS),
+            np.bincount(endings[rare], totals[rare], ENDINGS).astype("int64"),
             np.bincount(endings[known], minlength=ENDINGS),
             np.bincount(endings, totals, ENDINGS).astype("int64"),
             distinct[top],
@@ -191,30 +243,33 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
         return np.split(totals[at], cuts), found
 
     counted = B.answer(B.ask(packed, questions), buckets, respond, "word-counts")
-    answered = materialize(B.with_answers(packed, counted).select("batch", "load", "answers"), "counted")
+    state = materialize(B.with_answers(packed, counted).select("batch", "load", "answers"), "counted")
 
-    # By ending, the numbers of distinct words and of tokens; then the frequent words.
-    sum_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("ending", "distinct", "tokens")])
+    # By ending, the numbers of distinct words and of tokens, rare and all; then the frequent words.
+    names = ("rare_distinct", "rare_tokens", "distinct", "tokens")
+    sum_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("ending", *names)])
     sums = B.findings(
-        counted, sum_schema, lambda x: [pa.array(np.arange(ENDINGS)), pa.array(x[0]), pa.array(x[1])]
+        counted, sum_schema, lambda x: [pa.array(np.arange(ENDINGS)), *(pa.array(v) for v in x[:4])]
     )
     distinct, tokens = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for row in sums.groupBy("ending").agg(F.sum("distinct").alias("d"), F.sum("tokens").alias("n")).collect():
-        distinct[row["ending"]], tokens[row["ending"]] = row["d"], row["n"]
-    n_all, v_all = int(tokens.sum()), int(distinct.sum())
+    n_all = v_all = 0
+    for row in sums.groupBy("ending").agg(*(F.sum(n).alias(n) for n in names)).collect():
+        distinct[row["ending"]], tokens[row["ending"]] = row["rare_distinct"], row["rare_tokens"]
+        n_all, v_all = n_all + row["tokens"], v_all + row["distinct"]
     least = max(1, int(n_all * rule.frequent_share))
 
     def frequent(x: tuple) -> list[pa.Array]:
         # The share bounds how many words all buckets can name together.
-        often = x[3] >= least
-        return [pa.array(v[often]) for v in (x[2].view("i8"), x[3], x[4].astype("int64"))]
+        often = x[5] >= least
+        return [pa.array(v[often]) for v in (x[4].view("i8"), x[5], x[6].astype("int64"))]
 
     top_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "total", "ending")])
     tops = B.findings(counted, top_schema, frequent)
     top = tops.orderBy(F.desc("total"), "key").limit(rule.frequent).collect()
     for row in top:
-        distinct[row["ending"]] -= 1
-        tokens[row["ending"]] -= row["total"]
+        if row["total"] < rule.least_count:
+            distinct[row["ending"]] -= 1
+            tokens[row["ending"]] -= row["total"]
     keys = np.array([r["key"] for r in top], dtype="i8").view("u8")
     order = np.argsort(keys)
     keys, key_units = keys[order], order.astype("int64")
@@ -223,24 +278,23 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
     unit_tokens = np.concatenate([[float(r["total"]) for r in top], tokens])
 
     def units_of(tokens: Tokens) -> np.ndarray:
-        found = tokens.keys()
-        out = np.array([ending_of(w) for w in tokens.words], dtype="int64") + len(keys)
+        out = tokens.endings.astype("int64") + len(keys)
         if len(keys):
-            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            same = keys[at] == found
+            at = np.minimum(np.searchsorted(keys, tokens.keys), len(keys) - 1)
+            same = keys[at] == tokens.keys
             out[same] = key_units[at[same]]
         return out
 
     pair_schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
     pair_buckets = max(1, min(buckets, units * units >> 18))
 
-    def pair_questions(ids: list, texts: list[bytes], _: dict) -> Iterator[tuple[int, object]]:
-        tokens = Tokens([t for i, t in zip(ids, texts, strict=True) if not is_held_out(i)])
-        if not tokens.of:
-            return
-        unit = units_of(tokens)
-        # Texts one after another: each begins after the end token of the one before it.
-        line = unit[np.concatenate([[0], *tokens.of])]
+    def training_line(ids: list, tokens: Tokens, value: np.ndarray) -> np.ndarray:
+        """Training texts one after another: each begins after the end token of the one before it."""
+        found = tokens.in_training(ids)
+        return value[np.concatenate([[0], found])] if len(found) else value[:0]
+
+    def pair_questions(ids: list, tokens: Tokens, _: dict) -> Iterator[tuple[int, object]]:
+        line = training_line(ids, tokens, units_of(tokens))
         pairs, times = np.unique(line[:-1] * units + line[1:], return_counts=True)
         bucket = pairs % pair_buckets
         for b in range(pair_buckets):
@@ -253,22 +307,119 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
         return [None] * len(asked), (pairs, np.bincount(at, np.concatenate([q[1] for q in asked])).astype("int64"))
 
     paired = B.answer(B.ask(packed, pair_questions), pair_buckets, pair_sums, "unit-pairs")
-    table = np.zeros((units, units), dtype="f8")
+    unit_pairs = np.zeros((units, units), dtype="f8")
     # At most units squared numbers, which the model's size bounds.
     found = B.findings(paired, pair_schema, lambda x: [pa.array(x[0]), pa.array(x[1])]).toArrow()
-    table.ravel()[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    own = exchange_classes(table, rule)
-
+    unit_pairs.ravel()[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    own = exchange_classes(unit_pairs, rule)
     k = int(own.max()) + 1
     onto = np.zeros((units, k))
     onto[np.arange(units), own] = 1
-    class_pairs = onto.T @ table @ onto
+    table = onto.T @ unit_pairs @ onto
+
+    def totals_of(tokens: Tokens, answers: dict) -> np.ndarray:
+        totals = np.zeros(len(tokens.keys), dtype="int64")
+        for bucket, at in _asked(tokens.keys, buckets):
+            totals[at] = answers[bucket]
+        return totals
+
+    def wide_words(tokens: Tokens, totals: np.ndarray) -> np.ndarray:
+        """Places of words that are exchanged by themselves."""
+        return np.flatnonzero((units_of(tokens) >= len(keys)) & (totals >= rule.least_count))
+
+    def classes_of(tokens: Tokens, totals: np.ndarray, answers: dict) -> np.ndarray:
+        """Each word's class: its own, or before the first round and for rare words its ending's."""
+        out = own[units_of(tokens)]
+        wide = wide_words(tokens, totals)
+        for bucket, at in _asked(tokens.keys[wide], buckets):
+            if bucket + buckets in answers:
+                out[wide[at]] = answers[bucket + buckets]
+        return out
+
+    def neighbours(ids: list, tokens: Tokens, answers: dict) -> Iterator[tuple[int, object]]:
+        totals = totals_of(tokens, answers)
+        wide = wide_words(tokens, totals)
+        asked = list(_asked(tokens.keys[wide], buckets))
+        if not asked:
+            return
+        # Numbers of the words bucket by bucket, so that a bucket's codes are one run.
+        wide = wide[np.concatenate([at for _, at in asked])]
+        number = np.full(len(tokens.keys), -1, dtype="int64")
+        number[wide] = np.arange(len(wide))
+        line = training_line(ids, tokens, number)
+        classes = training_line(ids, tokens, classes_of(tokens, totals, answers))
+        left, right = line[:-1], line[1:]
+        # A word beside itself tells nothing of its class.
+        behind, ahead = (right >= 0) & (left != right), (left >= 0) & (left != right)
+        codes = np.concatenate(
+            [right[behind] * (2 * k) + classes[:-1][behind], left[ahead] * (2 * k) + k + classes[1:][ahead]]
+        )
+        codes, times = np.unique(codes, return_counts=True)
+        start = 0
+        for bucket, at in asked:
+            mine = wide[start : start + len(at)]
+            low, high = np.searchsorted(codes, [start * 2 * k, (start + len(at)) * 2 * k])
+            steps = np.diff(codes[low:high], prepend=start * 2 * k).astype("u4")
+            yield bucket, (tokens.keys[mine], totals[mine], steps, times[low:high].astype("u4"))
+            start += len(at)
+
+    def moved(table: np.ndarray) -> object:
+        def move(asked: list) -> tuple[list, object]:
+            words, first, at = np.unique(
+                np.concatenate([q[0] for q in asked]), return_index=True, return_inverse=True
+            )
+            totals = np.concatenate([q[1] for q in asked])[first]
+            around = np.zeros(len(words) * 2 * k, dtype="f4")
+            places = np.split(at, np.cumsum([len(q[0]) for q in asked])[:-1])
+            for (_, _, steps, times), place in zip(asked, places, strict=True):
+                word, slot = np.divmod(np.cumsum(steps, dtype="int64"), 2 * k)
+                around[place[word] * (2 * k) + slot] += times
+            chosen = best_classes(around.reshape(-1, 2 * k), table, rule.prior)
+            found = np.bincount(chosen, minlength=k), np.bincount(chosen, totals, k).astype("int64")
+            return [chosen[place] for place in places], found
+
+        return move
+
+    def pairs_of_classes(ids: list, tokens: Tokens, answers: dict) -> list[pa.Array]:
+        line = training_line(ids, tokens, classes_of(tokens, totals_of(tokens, answers), answers))
+        times = np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+        pairs = np.flatnonzero(times)
+        return [pa.array(pairs), pa.array(times[pairs])]
+
+    class_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("class", "distinct", "tokens")])
     class_tokens, class_words = onto.T @ unit_tokens, onto.T @ unit_distinct
-    shares = (class_pairs.sum(axis=0) + rule.prior / k) / (class_pairs.sum() + rule.prior)
-    step = np.log10((class_pairs + rule.prior * shares) / (class_pairs.sum(axis=1, keepdims=True) + rule.prior))
+    wide_tokens, wide_distinct = np.zeros(k), np.zeros(k)
+    best = -np.inf
+    for _ in range(rule.wide_rounds):
+        chosen = B.answer(B.ask(state, neighbours), buckets, moved(table), "classes")
+        mine = (
+            chosen.groupBy("batch")
+            .agg(F.collect_list(F.struct((F.col("bucket") + buckets).alias("bucket"), "answer")).alias("classes"))
+        )
+        counts = F.filter("answers", lambda x: x["bucket"] < buckets)
+        both = F.concat(counts, F.coalesce("classes", F.array().cast(mine.schema["classes"].dataType)))
+        after = materialize(
+            state.join(mine, "batch", "left").select("batch", "load", both.alias("answers")), "classed"
+        )
+        new = np.zeros((k, k))
+        sums = B.map_documents(after, pair_schema, pairs_of_classes).groupBy("pair").agg(F.sum("n").alias("n"))
+        for row in sums.collect():
+            new.ravel()[row["pair"]] = row["n"]
+        # The first round always holds: it gives words classes of their own. Later ones must gain.
+        if likelihood(new) <= best:
+            break
+        state, table, best = after, new, likelihood(new)
+        wide_distinct, wide_tokens = np.zeros(k), np.zeros(k)
+        sums = B.findings(chosen, class_schema, lambda x: [pa.array(np.arange(k)), pa.array(x[0]), pa.array(x[1])])
+        for row in sums.groupBy("class").agg(F.sum("distinct").alias("d"), F.sum("tokens").alias("n")).collect():
+            wide_distinct[row["class"]], wide_tokens[row["class"]] = row["d"], row["n"]
+    class_tokens, class_words = class_tokens + wide_tokens, class_words + wide_distinct
+
+    shares = (table.sum(axis=0) + rule.prior / k) / (table.sum() + rule.prior)
+    step = np.log10((table + rule.prior * shares) / (table.sum(axis=1, keepdims=True) + rule.prior))
     emit_floor = np.log10(class_tokens + rule.add * (class_words + 1))
     base_floor = np.log10(n_all + rule.add * (v_all + 1))
-    sent = spark.sparkContext.broadcast((own, step, emit_floor))
+    sent = spark.sparkContext.broadcast((step, emit_floor))
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
@@ -278,18 +429,15 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
         ]
     )
 
-    def scored(ids: list, texts: list[bytes], answers: dict) -> list[pa.Array]:
-        own, step, emit_floor = sent.value
-        tokens = Tokens(texts)
-        counts = np.zeros(len(tokens.words), dtype="int64")
-        for bucket, at in _asked(tokens.keys(), buckets):
-            counts[at] = answers[bucket]
-        classes = own[units_of(tokens)]
+    def scored(ids: list, tokens: Tokens, answers: dict) -> list[pa.Array]:
+        step, emit_floor = sent.value
+        counts = totals_of(tokens, answers)
+        classes = classes_of(tokens, counts, answers)
         weight = np.log10(counts + rule.add)
         base = weight - base_floor
         emit = weight - emit_floor[classes]
         rows = []
-        for doc_id, found in zip(ids, tokens.of, strict=True):
+        for doc_id, found in zip(ids, tokens.each(), strict=True):
             line = classes[found]
             steps = step[np.concatenate([classes[:1], line[:-1]]), line]
             rows.append(
@@ -306,4 +454,4 @@ def score_texts(docs: DataFrame, model: ClassModel | None = None) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
 
-    return B.map_documents(answered, schema, scored)
+    return B.map_documents(state, schema, scored)

@@ -97,6 +97,99 @@ def test_class_model_is_a_distribution_and_better_than_the_base(spark):
     assert 0.2 < sum(shares.values()) < 1
 
 
+def plain_class_scores(rows, rule):
+    """The class model by loops over words, for texts of one batch."""
+    import xxhash
+
+    texts = [(i, t.encode().lower().split() + [class_lm.END]) for i, t in rows]
+    lines = [t for i, t in texts if not class_lm.is_held_out(i)]
+    counts = Counter(w for t in lines for w in t)
+    key = {w: np.array([xxhash.xxh3_64_intdigest(w)], dtype="u8").view("i8")[0] for w in counts}
+    total = sum(counts.values())
+    often = [w for w in counts if counts[w] >= max(1, int(total * rule.frequent_share))]
+    top = sorted(often, key=lambda w: (-counts[w], key[w]))[: rule.frequent]
+    unit = lambda w: top.index(w) if w in top else len(top) + class_lm.ending_of(w)
+    chain = [class_lm.END, *(w for t in lines for w in t)]
+    steps = list(zip(chain, chain[1:], strict=False))
+    pairs = np.zeros((len(top) + class_lm.ENDINGS,) * 2)
+    for a, b in steps:
+        pairs[unit(a), unit(b)] += 1
+    own = class_lm.exchange_classes(pairs, rule)
+    k = own.max() + 1
+    wide = [w for w in counts if w not in top and counts[w] >= rule.least_count]
+    classes = {}
+    of = lambda w: classes.get(w, own[unit(w)])
+
+    def class_pairs():
+        table = np.zeros((k, k))
+        for a, b in steps:
+            table[of(a), of(b)] += 1
+        return table
+
+    def chances(table):
+        shares = (table.sum(axis=0) + rule.prior / k) / (table.sum() + rule.prior)
+        return (table + rule.prior * shares) / (table.sum(axis=1) + rule.prior)[:, None]
+
+    table, best = class_pairs(), -math.inf
+    for _ in range(rule.wide_rounds):
+        chance, kept = chances(table), dict(classes)
+        chosen = {}
+        for w in wide:
+            before = [of(a) for a, b in steps if b == w != a]
+            after = [of(b) for a, b in steps if a == w != b]
+            times = max(len(before), len(after))
+            worth = [
+                sum(math.log(chance[a, c]) for a in before)
+                + sum(math.log(chance[c, b]) for b in after)
+                - times * math.log(table[:, c].sum() + rule.prior)
+                for c in range(k)
+            ]
+            chosen[w] = int(np.argmax(np.round(worth, 9)))
+        classes = chosen
+        new = class_pairs()
+        if class_lm.likelihood(new) <= best:
+            classes = kept
+            break
+        table, best = new, class_lm.likelihood(new)
+    size, kinds = np.zeros(k), np.zeros(k)
+    for w, n in counts.items():
+        size[of(w)] += n
+        kinds[of(w)] += 1
+    chance, out = chances(table), {}
+    for i, text in texts:
+        at, out[i] = of(class_lm.END), 0.0
+        for w in text:
+            c = of(w)
+            emit = (counts[w] + rule.add) / (size[c] + rule.add * (kinds[c] + 1))
+            out[i] += math.log10(chance[at, c] * emit)
+            at = c
+    return out, wide, classes
+
+
+def test_class_scores_equal_a_plain_model(spark, monkeypatch):
+    draw = random.Random(8)
+    nouns, verbs = [f"n{i}o" for i in range(30)], [f"v{i}a" for i in range(30)]
+    rows = [
+        (i, " ".join(draw.choice(nouns if j % 2 else verbs) + draw.choice(["", "", ".", "s"]) for j in range(draw.randrange(40))))
+        for i in range(60)
+    ]
+    rule = class_lm.ClassModel(frequent=6, classes=5, rounds=3, least_count=4, wide_rounds=3)
+    want, wide, classes = plain_class_scores(rows, rule)
+    assert len(wide) > 20 and len(set(classes.values())) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(class_lm, "BUCKET_BYTES", 500)
+    got = {r.doc_id: r.score for r in class_lm.score_texts(docs, rule).collect()}
+    assert got.keys() == want.keys()
+    # Texts come in another order than in the plain run; only the end token stands between them.
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_best_classes_by_neighbours():
+    table = np.array([[5.0, 900.0], [900.0, 5.0]])
+    around = np.array([[0, 9, 0, 9], [9, 0, 9, 0], [0, 0, 0, 0]], dtype="f4")
+    assert class_lm.best_classes(around, table).tolist() == [0, 1, 0]
+
+
 def test_exchange_finds_planted_classes():
     draw = np.random.default_rng(4)
     truth = np.arange(40) % 4
