@@ -1,11 +1,13 @@
 """Principal components of wide vectors, without a matrix of width by width.
 
-The leading axes are found by subspace iteration: a block of orthonormal
+The leading axes are found in a growing subspace: a block of orthonormal
 directions, a few more than are wanted, goes through the rows once per round.
 Each task multiplies its rows with the block and that product back, which is
 width by directions, and these partial products are added up on the executors.
-The driver only makes the block orthonormal again. It ends when the block no
-longer turns; then a small eigenproblem inside the block gives the axes.
+The driver keeps the last few blocks with their products, solves the small
+eigenproblem inside them, and takes what the best axes still lack as the next
+block. So a handful of rounds does what many do that keep one block only. It
+ends when the axes no longer turn, or when the blocks fill the whole space.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from shelfvec.operators.lockstep import DIRECT_PARTS
 from shelfvec.sources.scratch import materialize
 from shelfvec.sources.shipping import ensure_shipped
 
-# Directions beyond the wanted ones, rounds at most, turn that counts as none.
+# Directions beyond the wanted ones, rounds at most, turn that counts as none, blocks kept.
 EXTRA = 16
 ROUNDS = 300
 TURN = 1e-7
+KEPT_BLOCKS = 6
 
 PARTS = "part int, rows long, load binary"
 
@@ -69,7 +72,8 @@ def _sums(rows: DataFrame, make, *shared) -> tuple[int, np.ndarray]:
         parts = max(DIRECT_PARTS, parts // DIRECT_PARTS)
         found = found.repartition(parts).mapInArrow(added, PARTS)
     count, total = 0, None
-    for row in found.toLocalIterator():
+    # One job for all partitions; an iterator would run them one after the other.
+    for row in found.collect():
         piece = np.frombuffer(row["load"], "f8")
         total = piece if total is None else total + piece
         count += row["rows"]
@@ -91,14 +95,27 @@ def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return (x - mean) * scale
 
 
+def _beside(basis: np.ndarray, wanted: np.ndarray, least: float) -> np.ndarray:
+    """Orthonormal directions of ``wanted`` that lie outside ``basis``; those of less than ``least`` left out."""
+    # Twice, as the first pass leaves rounding errors of the size of what it took away.
+    for _ in range(2):
+        wanted = wanted - basis @ (basis.T @ wanted)
+        left, sizes, _ = np.linalg.svd(wanted, full_matrices=False)
+        wanted = left[:, sizes > least]
+        wanted = wanted[:, : basis.shape[0] - basis.shape[1]]
+        least = 0.1
+    return np.linalg.qr(wanted - basis @ (basis.T @ wanted))[0]
+
+
 def leading_axes(
     rows: DataFrame, components: int, extra: int = EXTRA, rounds: int = ROUNDS, turn: float = TURN, seed: int = 42
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mean, factor, axes (width by components) and variances of the standardised array column ``x``.
 
-    ``rows`` is read once per round and should be stored. Memory on the driver
-    and in a task is that of width by ``components + extra`` numbers. A constant
-    component is zero after scaling. Signs make each axis' largest entry positive.
+    ``rows`` is read once per round and should be stored. Memory in a task is
+    that of width by ``components + extra`` numbers, on the driver ``KEPT_BLOCKS``
+    times that. A constant component is zero after scaling. Signs make each axis'
+    largest entry positive.
     """
     n, mean, deviation = moments(rows)
     width = len(mean)
@@ -108,17 +125,25 @@ def leading_axes(
         return mean, scale, np.zeros((width, 0)), np.zeros(0)
     size = min(width, k + extra)
     block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))
+    basis, images = np.zeros((width, 0)), np.zeros((width, 0))
     for _ in range(rounds):
         _, flat = _sums(rows, lambda x, q, m, s: (lambda z: z.T @ (z @ q))(_scaled(x, m, s)).ravel(), block, mean, scale)
-        product = flat.reshape(width, size) / n
-        values, inner = np.linalg.eigh((block.T @ product + product.T @ block) / 2)
-        order = np.argsort(values)[::-1]
+        basis = np.hstack([basis, block])
+        images = np.hstack([images, flat.reshape(width, -1) / n])
+        inside = basis.T @ images
+        values, inner = np.linalg.eigh((inside + inside.T) / 2)
+        order = np.argsort(values)[::-1][:size]
         values, inner = values[order], inner[:, order]
-        axes = block @ inner[:, :k]
-        rest = product @ inner[:, :k] - axes * values[:k]
-        if np.abs(rest).max(initial=0.0) <= turn * max(values[0], 1e-300):
+        best, lacks = basis @ inner, images @ inner
+        axes = best[:, :k]
+        lacks = lacks - best * values
+        if np.abs(lacks[:, :k]).max(initial=0.0) <= turn * max(values[0], 1e-300) or basis.shape[1] >= width:
+            break
+        if basis.shape[1] + size > KEPT_BLOCKS * size:
+            basis, images = best, images @ inner
+        block = _beside(basis, lacks, 1e-14 * max(values[0], 1e-300))
+        if not block.shape[1]:
             break
-        block, _ = np.linalg.qr(product)
     signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
     return mean, scale, axes * signs, values[:k]
 

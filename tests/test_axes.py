@@ -61,3 +61,23 @@ def test_partial_sums_of_many_partitions_and_no_rows(spark):
     np.testing.assert_allclose(mean, data.mean(0))
     np.testing.assert_allclose(deviation, data.std(0))
     assert A.reduce_wide(frame(spark, data).where("row_id < 0"), "v", "p", 2).collect() == []
+
+
+def test_close_variances_take_few_rounds_over_the_rows(spark, monkeypatch):
+    """Variances that hardly differ: a single block would turn for hundreds of rounds."""
+    data = np.random.default_rng(4).normal(size=(400, 60))
+    want, values = wanted(data, 3)
+    passes = []
+    sums = A._sums
+    monkeypatch.setattr(A, "_sums", lambda *args: passes.append(1) or sums(*args))
+    rows = frame(spark, data).select(vector_to_array("v").alias("x")).coalesce(2).cache()
+    _, _, axes, found = A.leading_axes(rows, 3, turn=1e-11)
+    np.testing.assert_allclose(found, values, rtol=1e-10)
+    deviation = (data - data.mean(0)) / data.std(0)
+    np.testing.assert_allclose(np.abs(deviation @ axes), np.abs(want), atol=1e-8)
+    assert len(passes) <= 2 + 4
+    # Blocks that are given up for the best of them lose nothing.
+    monkeypatch.setattr(A, "KEPT_BLOCKS", 2)
+    _, _, axes, found = A.leading_axes(rows, 3, extra=4, turn=1e-10)
+    np.testing.assert_allclose(found, values, rtol=1e-10)
+    np.testing.assert_allclose(np.abs(deviation @ axes), np.abs(want), atol=1e-6)
