@@ -27,6 +27,8 @@ from shelfvec.sources.shipping import ensure_shipped
 BITS = 12
 RECALL = 0.999
 CHUNK = 1024
+# Bytes of bucket rows that a task holds at once.
+PIECE_BYTES = 4 * 1024 * 1024
 
 LINK = T.StructType([T.StructField(n, T.LongType()) for n in ("u", "v")])
 
@@ -37,6 +39,21 @@ def table_count(threshold: float, bits: int = BITS, recall: float = RECALL) -> i
     return 1 if meets >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
+def bucket_rows(batch: pa.RecordBatch, planes: np.ndarray, bits: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row per vector and table, in pieces: all of a batch would be as many copies of it as there are tables."""
+    width, tables = len(planes), planes.shape[1] // bits
+    powers = 1 << np.arange(bits, dtype="int64")
+    size = max(1, PIECE_BYTES // (tables * (8 * width + 24)))
+    for first in range(0, batch.num_rows, size):
+        part = batch.slice(first, size)
+        n = part.num_rows
+        x = part.column("unit").flatten().to_numpy().reshape(n, width)
+        signs = (x @ planes > 0).reshape(n, tables, bits)
+        numbers = signs @ powers + (np.arange(tables, dtype="int64") << bits)
+        owner = pa.array(np.repeat(np.arange(n), tables))
+        yield pa.RecordBatch.from_arrays([*[part.column(c).take(owner) for c in ("node", "unit")], pa.array(numbers.ravel())], names=names)
+
+
 def buckets(units: DataFrame, width: int, bits: int, tables: int, seed: int) -> DataFrame:
     """``node, unit, bucket`` rows, one per table; a bucket's number holds its table."""
     ensure_shipped(units.sparkSession)
@@ -44,16 +61,8 @@ def buckets(units: DataFrame, width: int, bits: int, tables: int, seed: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).normal(size=(width, tables * bits))
-        powers = 1 << np.arange(bits, dtype="int64")
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column("unit").flatten().to_numpy().reshape(n, width)
-            signs = (x @ planes > 0).reshape(n, tables, bits)
-            numbers = signs @ powers + (np.arange(tables, dtype="int64") << bits)
-            owner = pa.array(np.repeat(np.arange(n), tables))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in ("node", "unit")], pa.array(numbers.ravel())], names=schema.names)
+            yield from bucket_rows(batch, planes, bits, schema.names)
 
     return units.select("node", "unit").mapInArrow(run, schema)
 

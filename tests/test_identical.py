@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from shelfvec.operators import identical as I
 from shelfvec.operators.identical import identical_products, similar_pairs, table_count
 
 
@@ -72,3 +74,17 @@ def test_empty_table_and_other_names(spark):
     one = spark.createDataFrame([(3, [1.0, 0.0]), (4, [2.0, 0.0])], "sku long, v array<float>")
     out = identical_products(one, key="sku", column="v").collect()
     assert {(r.row_id, r.product_id, r.n_links) for r in out} == {(3, 3, 1), (4, 3, 1)}
+
+
+def test_bucket_rows_come_in_pieces_of_bounded_size():
+    """Forty copies of a batch are never held at once."""
+    rng = np.random.default_rng(6)
+    x, planes = rng.normal(size=(5000, 64)), rng.normal(size=(64, 40 * 12))
+    unit = pa.ListArray.from_arrays(pa.array(np.arange(5001, dtype="i4") * 64), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), unit], names=["node", "unit"])
+    pieces = list(I.bucket_rows(batch, planes, 12, ["node", "unit", "bucket"]))
+    assert max(p.nbytes for p in pieces) <= I.PIECE_BYTES and sum(p.num_rows for p in pieces) == 200_000
+    found = np.concatenate([p.column("bucket").to_numpy() for p in pieces]).reshape(5000, 40)
+    want = ((x @ planes > 0).reshape(5000, 40, 12) @ (1 << np.arange(12))) + (np.arange(40) << 12)
+    assert (found == want).all()
+    assert (np.concatenate([p.column("node").to_numpy() for p in pieces]).reshape(5000, 40) == np.arange(5000)[:, None]).all()
