@@ -118,3 +118,21 @@ def test_a_hundred_thousand_phrases_drop_what_fifty_do(spark, plan_of):
 def test_trie_matches():
     trie = build_trie([["a"], ["a", "b", "c"], ["b"]])
     assert longest_matches(trie, ["a", "b", "x", "a", "b", "c"]) == [1, 1, 0, 3, 1, 0]
+
+
+def test_only_tokens_that_begin_a_phrase_are_walked():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            type(self).asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            type(self).asked += 1
+            return super().__getitem__(key)
+
+    tokens = ["x"] * 5000 + ["a", "b", "c", "a"] + ["x"] * 5000
+    found = longest_matches(Counted(build_trie([["a"], ["a", "b", "c"]])), tokens)
+    assert found[4999:5005] == [0, 3, 0, 0, 1, 0] and sum(found) == 4
+    assert Counted.asked <= 2
