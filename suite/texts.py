@@ -13,6 +13,7 @@ from shelfvec.operators.language import (
     normalize_columns,
     normalize_text,
 )
+from shelfvec.sources.scratch import materialize
 from suite import query, text_table
 
 SPACE_SQL = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
@@ -225,7 +226,7 @@ def t4_rules(spark, sf):
 )
 def t4_unknown(spark, sf):
     """Texts lemmatised by the smaller dictionary, forms it lacks by their endings."""
-    known = _lemmas(spark, sf).where(~_held_out("form"))
+    known = materialize(_lemmas(spark, sf).where(~_held_out("form")), "known-forms")
     cleaned = text_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("line"))
     return normalize_text(cleaned, "line", known, language="en", endings=learn_endings(known))
 

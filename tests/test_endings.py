@@ -93,3 +93,24 @@ def test_texts_follow_the_rules_for_unknown_forms_alone(spark, limit):
     text = spark.createDataFrame([(1, "Boxes taxes FOXES 12es es"), (2, None), (3, "")], "id int, t string")
     out = normalize_text(text, "t", lemmas, "en", limit_bytes=limit, endings=E.learn_endings(lemmas))
     assert {r.id: r.t for r in out.collect()} == {1: "boxen tax fox es", 2: None, 3: ""}
+
+
+def test_a_computed_text_is_computed_once(spark):
+    """Its forms and its lines are both read from the stored text."""
+    from pyspark.sql import functions as F
+
+    from shelfvec.operators.endings import learn_endings
+    from shelfvec.operators.language import normalize_text
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(n):
+        seen.add(1)
+        return f"tables of word{'s' * (n % 2)} chairs"
+
+    known = spark.createDataFrame([("en", f"{w}s", w) for w in ("table", "door", "tree", "house")], "lang string, form string, lemma string")
+    df = spark.range(20).select("id", said("id").alias("line"))
+    out = {r.id: r.line for r in normalize_text(df, "line", known, language="en", endings=learn_endings(known)).collect()}
+    assert out[0] == "table of word chair" and out[1] == "table of word chair" and len(out) == 20
+    assert seen.value == 20
