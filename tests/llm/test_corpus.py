@@ -338,3 +338,18 @@ def test_all_operators_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2:].split("_")[0].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
+
+
+def test_class_model_keeps_no_superseded_batches(spark):
+    """Batches without counts and the counts' own table go once both stand together."""
+    from pathlib import Path
+
+    from shelfvec.sources.scratch import scratch_root
+
+    folder = Path(scratch_root(spark).removeprefix("file:")) / "shelfvec" / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    docs = spark.createDataFrame([(i, f"one two{i % 7} three") for i in range(300)], "doc_id long, text string")
+    out = class_lm.score_texts(docs)
+    stored = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert "classed" in stored and not stored & {"batches", "word-counts", "counted"}
+    assert out.count() == 300
