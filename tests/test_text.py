@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfvec.functions.text import clean_text, fill_blank, shares_word, words
 from shelfvec.operators import language as G
@@ -159,3 +160,19 @@ def test_both_lemma_plans_agree_on_odd_texts(spark, language):
         assert dict((i, t) for i, t, _ in small)[0] == "cat dogs cat x"
         assert dict((i, t) for i, t, _ in small)[1] == "cat cat o dd"
         assert dict((i, t) for i, t, _ in small)[2] == "gone gone"
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 24])
+def test_a_large_dictionary_meets_distinct_forms(spark, plan_of, monkeypatch, chunk):
+    """Chunks of any size give the lines of a small dictionary; tokens are not joined one by one."""
+    lemmas = spark.createDataFrame([("en", f"w{c}s", f"w{c}") for c in "abc"] + [("ru", "коты", "кот")], "lang string, form string, lemma string")
+    texts = ["was wbs WAS x1 other", "", None, "коты was", "wcs " * 50, "none known"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3, "i").withColumn("more", F.array(F.struct("i", "t")))
+    monkeypatch.setattr(G, "CHUNK_BYTES", chunk)
+    for language in ("en", "ru", None):
+        outs = [G.normalize_text(df, "t", lemmas, language, output="line", limit_bytes=n) for n in (10**9, -1)]
+        assert outs[0].columns == outs[1].columns == ["i", "t", "more", "line"]
+        small, large = (sorted(out.collect(), key=lambda r: r.i) for out in outs)
+        assert small == large and len(large) == 18
+        # Each text is shuffled once; forms are made distinct before they are.
+        assert "posexplode" not in plan_of(outs[1])
